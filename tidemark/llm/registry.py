@@ -1,9 +1,11 @@
 """The registered queries of the training-data operators and their oracle SQL."""
 
 from tidemark.llm.bpe import op1_byte_bpe
+from tidemark.llm.simhash import op4_simhash
 
 QUERIES = {
     "op1_byte_bpe": op1_byte_bpe,
+    "op4_simhash": op4_simhash,
 }
 
 ORACLES: dict[str, str] = {}
