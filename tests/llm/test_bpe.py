@@ -12,6 +12,7 @@ PATH = P.path("byte_bpe_50k.tiktoken")
 RANKS = bpe.read_ranks(PATH)
 KNOWN = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=RANKS, special_tokens={})
 FST = bpe.Transducer(RANKS)
+SEGMENTED = bpe.Encoder(RANKS, P.PATTERN, bpe.SEGMENT)
 
 
 @settings(max_examples=300, deadline=None)
@@ -23,6 +24,12 @@ def test_pieces_like_tiktoken(text):
     assert got == KNOWN.encode_ordinary(text)
 
 
+@settings(max_examples=300, deadline=None)
+@given(st.one_of(st.text(max_size=40), st.text(alphabet="a1.' \n\t\x1c\x85\xa0\u2003\u3000\u200b", max_size=40)))
+def test_segments_keep_the_pieces(text):
+    assert SEGMENTED.packed(text) == b"".join(i.to_bytes(4, "little") for i in KNOWN.encode_ordinary(text))
+
+
 def test_words_of_the_documents():
     words = {w for t in pq.read_table("/root/testdata/sf0.001/documents.parquet")["text"].to_pylist() if t for w in t.split(" ")}
     for w in words:

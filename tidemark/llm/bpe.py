@@ -15,6 +15,8 @@ table gives an empty table with the same columns. Lengths of text are bounded by
 from __future__ import annotations
 
 import base64
+import re
+import struct
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
@@ -24,9 +26,14 @@ from pyspark.sql import types as T
 
 from tidemark.llm.common import fresh, table
 
-STATES = 100_000
-PIECES = 400_000
+STATES = 140_000
+SEGMENTS = 200_000
+SLICE = 256
 DECODE_CHUNK = 1 << 16
+SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
+"""Unicode's white space, as a character class."""
+SEGMENT = f" ?[^{SPACE}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+"
+"""Cuts text only where a pattern cuts it whose matches have white space at most as one leading space or alone."""
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -35,12 +42,12 @@ def read_ranks(path: str) -> dict[bytes, int]:
 
 
 class State:
-    __slots__ = ("configs", "next", "final")
+    __slots__ = ("configs", "next", "last")
 
-    def __init__(self, configs: frozenset, final: tuple | None):
-        self.configs = configs  # (pending token ids, last token id, unfinished bytes)
-        self.next: dict[int, tuple[State | None, tuple]] = {}
-        self.final = final  # the pending tokens if the input ends here
+    def __init__(self, configs: tuple):
+        self.configs = configs  # (pending token ids, last token id, node of the unfinished token), oldest first
+        self.next: dict[int, tuple[State, tuple] | None] = {}
+        self.last: dict[int, tuple] = {}  # all tokens still to come, by the input's last byte
 
 
 class Transducer:
@@ -49,63 +56,105 @@ class Transducer:
     def __init__(self, ranks: dict[bytes, int]):
         self.ranks = ranks
         self.tokens = {i: t for t, i in ranks.items()}
-        self.prefixes = {t[:k] for t in ranks for k in range(1, len(t) + 1)}
-        self.pairs: dict[tuple[int, int], bool] = {}
+        # The trie of the tokens: node * 256 + byte to node, root 0; and the token that ends at a node.
+        self.child: dict[int, int] = {}
+        self.token_at: dict[int, int] = {}
+        for token, rank in ranks.items():
+            node = 0
+            for byte in token:
+                node = self.child.setdefault(node * 256 + byte, len(self.child) + 1)
+            self.token_at[node] = rank
+        self.inner = {key >> 8 for key in self.child}  # nodes of tokens that may still grow
+        self.halves: dict[int, tuple[int, int] | None] = {}
         self.forget()
 
     def forget(self) -> None:
-        self.start = State(frozenset([((), -1, b"")]), ())
+        self.start = State((((), -1, 0),))
         self.states = {self.start.configs: self.start}
+        self.pairs: dict[tuple[int, int], bool] = {}
 
-    def merged(self, text: bytes) -> list[bytes]:
-        """The merges in order of rank, used on the few bytes of a pair of tokens."""
-        parts = [text[i : i + 1] for i in range(len(text))]
-        while len(parts) > 1:
-            rank, at = min((self.ranks.get(parts[i] + parts[i + 1], 1 << 60), i) for i in range(len(parts) - 1))
-            if rank == 1 << 60:
-                break
-            parts[at : at + 2] = [parts[at] + parts[at + 1]]
-        return parts
+    def split(self, token: int) -> tuple[int, int] | None:
+        """The two tokens whose merge makes a token last; None for a single byte."""
+        if token not in self.halves:
+            text = self.tokens[token]
+            parts = [text[i : i + 1] for i in range(len(text))]
+            while len(parts) > 2:
+                at = min(range(len(parts) - 1), key=lambda i: (self.ranks.get(parts[i] + parts[i + 1], 1 << 60) if len(parts[i]) + len(parts[i + 1]) < len(text) else 1 << 60, i))
+                parts[at : at + 2] = [parts[at] + parts[at + 1]]
+            self.halves[token] = (self.ranks[parts[0]], self.ranks[parts[1]]) if len(parts) == 2 else None
+        return self.halves[token]
 
     def may_follow(self, left: int, right: int) -> bool:
+        """Whether the two tokens stay apart when their bytes stand together.
+
+        Their merges are undone at the seam, the latest first. A merge across the seam would have come
+        before one of those undone if its rank is lower (on the right side: as low, as pairs go from the left).
+        """
         if left < 0:
             return True
-        key = (left, right)
-        if key not in self.pairs:
-            if len(self.pairs) > 4 * STATES:
-                self.pairs.clear()
-            a, b = self.tokens[left], self.tokens[right]
-            self.pairs[key] = self.merged(a + b) == [a, b]
-        return self.pairs[key]
-
-    def step(self, state: State, byte: int) -> tuple[State | None, tuple]:
-        """The next state and the tokens emitted on the way; None where no token starts like this."""
+        known = self.pairs.get((left, right))
+        if known is not None:
+            return known
+        a, b, limit = left, right, 1 << 60
+        apart = True
+        while True:
+            across = self.ranks.get(self.tokens[a] + self.tokens[b])
+            if across is not None and across < limit:
+                apart = False
+                break
+            halves_a, halves_b = self.split(a), self.split(b)
+            if halves_a is None and halves_b is None:
+                break
+            if halves_b is None or halves_a is not None and a > b:
+                a, limit = halves_a[1], a
+            else:
+                b, limit = halves_b[0], b + 1
+        self.pairs[left, right] = apart
+        return apart
+
+    def step(self, state: State, byte: int) -> tuple[State, tuple]:
+        """The next state and the tokens emitted on the way."""
         found = []
-        for pending, last, part in state.configs:
-            grown = part + bytes([byte])
-            if grown not in self.prefixes:
+        closed = None
+        child, token_at, inner = self.child.get, self.token_at.get, self.inner
+        for pending, last, node in state.configs:
+            node = child(node * 256 + byte)
+            if node is None:
                 continue
-            found.append((pending, last, grown))
-            token = self.ranks.get(grown)
-            if token is not None and self.may_follow(last, token):
-                found.append((pending + (token,), token, b""))
-        if not found:
-            move = (None, ())
-        else:
-            agreed = 0
-            shortest = min(len(c[0]) for c in found)
-            while agreed < shortest and len({c[0][agreed] for c in found}) == 1:
-                agreed += 1
-            emitted = found[0][0][:agreed]
-            configs = frozenset((pending[agreed:], last, part) for pending, last, part in found)
-            known = self.states.get(configs)
-            if known is None:
-                final = next((pending for pending, _, part in configs if not part), None)
-                known = self.states[configs] = State(configs, final)
-            move = (known, emitted)
-        state.next[byte] = move
+            if node in inner:
+                found.append((pending, last, node))
+            if closed is None:
+                token = token_at(node)
+                if token is not None and self.may_follow(last, token):
+                    closed = (pending + (token,), token, 0)
+        if closed is None:
+            raise ValueError("the vocabulary lacks single bytes of this text")
+        found.append(closed)
+        agreed = 0
+        first = found[0][0]
+        while agreed < len(first) and all(len(c[0]) > agreed and c[0][agreed] == first[agreed] for c in found):
+            agreed += 1
+        configs = tuple((c[0][agreed:], c[1], c[2]) for c in found) if agreed else tuple(found)
+        known = self.states.get(configs)
+        if known is None:
+            known = State(configs)
+            # A transition is kept from its second use on: most are met once only.
+            if byte not in state.next:
+                state.next[byte] = None
+                return known, first[:agreed]
+            self.states[configs] = known
+        move = state.next[byte] = (known, first[:agreed])
         return move
 
+    def end(self, state: State, byte: int) -> tuple:
+        """The tokens still to come when the input ends with this byte: those of the configuration it closes."""
+        for pending, last, node in state.configs:
+            token = self.token_at.get(self.child.get(node * 256 + byte))
+            if token is not None and self.may_follow(last, token):
+                state.last[byte] = pending = pending + (token,)
+                return pending
+        raise ValueError("the vocabulary lacks single bytes of this text")
+
     def encode(self, piece: bytes) -> list[int]:
         """Token ids of one piece; a piece that is a token is that token."""
         whole = self.ranks.get(piece)
@@ -115,34 +164,37 @@ class Transducer:
             self.forget()
         out: list[int] = []
         state = self.start
-        for byte in piece:
-            move = state.next.get(byte) or self.step(state, byte)
-            state = move[0]
-            if state is None:
-                raise ValueError("the vocabulary lacks single bytes of this text")
-            out.extend(move[1])
-        if state.final is None:
-            raise ValueError("the vocabulary lacks single bytes of this text")
-        out.extend(state.final)
+        for byte in piece[:-1]:
+            state, emitted = state.next.get(byte) or self.step(state, byte)
+            if emitted:
+                out += emitted
+        out += state.last.get(piece[-1]) or self.end(state, piece[-1])
         return out
 
 
-class PackedPieces(dict):
-    """Pieces of text to their ids as little-endian 32-bit integers; filled on demand, emptied when full."""
+class Encoder(dict):
+    """Segments of text to their packed ids, filled on demand and emptied when full."""
+
+    def __init__(self, ranks: dict[bytes, int], pattern: str, segment: str | None):
+        import regex
 
-    def __init__(self, transducer: Transducer):
         super().__init__()
-        self.transducer = transducer
-
-    def __missing__(self, piece: str) -> bytes:
-        if len(self) >= PIECES:
-            self.clear()
-        ids = self.transducer.encode(piece.encode())
-        packed = b"".join(i.to_bytes(4, "little") for i in ids)
-        if len(piece) <= 64:
-            self[piece] = packed
+        self.transducer = Transducer(ranks)
+        self.pieces = regex.compile(pattern).findall
+        self.segments = re.compile(segment).findall if segment else lambda text: [text]
+
+    def __missing__(self, segment: str) -> bytes:
+        ids = [i for piece in self.pieces(segment) for i in self.transducer.encode(piece.encode())]
+        packed = struct.pack(f"<{len(ids)}I", *ids)
+        if len(segment) <= 64:
+            if len(self) >= SEGMENTS:
+                self.clear()
+            self[segment] = packed
         return packed
 
+    def packed(self, text: str) -> bytes:
+        return b"".join(map(self.__getitem__, self.segments(text)))
+
 
 # --- UTF-8: byte classes and transitions, from the table of well-formed sequences in the Unicode standard
 
@@ -218,41 +270,46 @@ class StreamDecoder:
 _made: dict[tuple, object] = {}
 
 
-def _encoder(path: str, pattern: str):
-    if ("encoder", path, pattern) not in _made:
-        import regex
-
-        _made["encoder", path, pattern] = (regex.compile(pattern).findall, PackedPieces(Transducer(read_ranks(path))))
-    return _made["encoder", path, pattern]
+def _encoder(path: str, pattern: str, segment: str | None) -> Encoder:
+    key = ("encoder", path, pattern, segment)
+    if key not in _made:
+        _made[key] = Encoder(read_ranks(path), pattern, segment)
+    return _made[key]
 
 
-def _with(df: DataFrame, column: str, function, name: str, kind: T.DataType) -> DataFrame:
-    """df with a column made from another by mapInArrow; the function maps one value that is not null."""
-    (name,) = fresh(df, name)
+def _with(df: DataFrame, column: str, function, name: str, kind: T.DataType, replace: bool) -> DataFrame:
+    """df with a column made from another by mapInArrow, beside or in place of that one."""
     at = df.columns.index(column)
+    kept = [i for i in range(len(df.columns)) if not (replace and i == at)]
+    fields = [df.schema.fields[i] for i in kept]
+    (name,) = fresh(df.select(*(df[f"`{f.name}`"] for f in fields)) if replace else df, name)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
         one = function()
         made = pa.binary() if isinstance(kind, T.BinaryType) else pa.string()
-        for batch in batches:
-            values = [one(v.as_py()) for v in batch.column(at)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(values, made)], names=[*batch.schema.names, name])
+        for whole in batches:
+            for start in range(0, whole.num_rows, SLICE):
+                batch = whole.slice(start, SLICE)
+                values = [one(v.as_py()) for v in batch.column(at)]
+                yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in kept), pa.array(values, made)], names=[*(f.name for f in fields), name])
+
+    return df.mapInArrow(run, T.StructType([*fields, T.StructField(name, kind)]))
 
-    return df.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField(name, kind)]))
 
+def encode(df: DataFrame, text: str, ranks_path: str, pattern: str, to: str = "ids", segment: str | None = None, replace: bool = False) -> DataFrame:
+    """Add `to`: the token ids of every whole text, packed as little-endian unsigned 32-bit integers (null: no ids).
 
-def encode(df: DataFrame, text: str, ranks_path: str, pattern: str, to: str = "ids") -> DataFrame:
-    """Add `to`: the token ids of every whole text, packed as little-endian unsigned 32-bit integers (null: no ids)."""
+    `segment` may name a cheaper pattern that cuts only where `pattern` cuts too. `replace` drops the texts.
+    """
 
     def worker():
-        pieces, packed = _encoder(ranks_path, pattern)
-        get = packed.__getitem__
-        return lambda value: b"".join(map(get, pieces(value))) if value else b""
+        packed = _encoder(ranks_path, pattern, segment).packed
+        return lambda value: packed(value) if value else b""
 
-    return _with(df, text, worker, to, T.BinaryType())
+    return _with(df, text, worker, to, T.BinaryType(), replace)
 
 
-def decode(df: DataFrame, ids: str, ranks_path: str, to: str = "decoded") -> DataFrame:
+def decode(df: DataFrame, ids: str, ranks_path: str, to: str = "decoded", replace: bool = False) -> DataFrame:
     """Add `to`: the text of packed token ids (null: empty text), decoded as a stream of bounded portions."""
 
     def worker():
@@ -270,7 +327,7 @@ def decode(df: DataFrame, ids: str, ranks_path: str, to: str = "decoded") -> Dat
 
         return one
 
-    return _with(df, ids, worker, to, T.StringType())
+    return _with(df, ids, worker, to, T.StringType(), replace)
 
 
 def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -279,10 +336,12 @@ def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    encoded = encode(docs, "text", path, public_tokenizers.PATTERN).select("doc_id", "ids")
-    return decode(encoded, "ids", path).select(
-        "doc_id",
-        (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
-        F.sha2("ids", 256).alias("ids_sha256"),
-        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
-    )
+    encoded = encode(docs, "text", path, public_tokenizers.PATTERN, segment=SEGMENT, replace=True)
+    return digests(encoded, path)
+
+
+def digests(encoded: DataFrame, ranks_path: str, ids: str = "ids") -> DataFrame:
+    """The other columns, with count and hash of the packed ids, and hash of the bytes they decode to."""
+    kept = [c for c in encoded.columns if c != ids]
+    counted = encoded.withColumns({"n_tokens": (F.octet_length(ids) / 4).cast("long"), "ids_sha256": F.sha2(ids, 256)})
+    return decode(counted, ids, ranks_path, replace=True).select(*kept, "n_tokens", "ids_sha256", F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
