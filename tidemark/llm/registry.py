@@ -1,11 +1,18 @@
 """The registered queries of the training-data operators and their oracle SQL."""
 
 from tidemark.llm.bpe import op1_byte_bpe
+from tidemark.llm.mixing import ORACLE as MIXING_ORACLE
+from tidemark.llm.mixing import op6_mixing
 from tidemark.llm.simhash import op4_simhash
+from tidemark.llm.toxicity import op5_toxicity
 
 QUERIES = {
     "op1_byte_bpe": op1_byte_bpe,
     "op4_simhash": op4_simhash,
+    "op5_toxicity": op5_toxicity,
+    "op6_mixing": op6_mixing,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op6_mixing": MIXING_ORACLE,
+}
