@@ -3,6 +3,7 @@
 from tidemark.llm.bpe import op1_byte_bpe
 from tidemark.llm.mixing import ORACLE as MIXING_ORACLE
 from tidemark.llm.mixing import op6_mixing
+from tidemark.llm.secrets import op9_secrets
 from tidemark.llm.simhash import op4_simhash
 from tidemark.llm.toxicity import op5_toxicity
 
@@ -11,6 +12,7 @@ QUERIES = {
     "op4_simhash": op4_simhash,
     "op5_toxicity": op5_toxicity,
     "op6_mixing": op6_mixing,
+    "op9_secrets": op9_secrets,
 }
 
 ORACLES: dict[str, str] = {
