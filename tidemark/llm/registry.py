@@ -1,6 +1,7 @@
 """The registered queries of the training-data operators and their oracle SQL."""
 
 from tidemark.llm.bpe import op1_byte_bpe
+from tidemark.llm.html import op3_html
 from tidemark.llm.mixing import ORACLE as MIXING_ORACLE
 from tidemark.llm.mixing import op6_mixing
 from tidemark.llm.secrets import op9_secrets
@@ -9,6 +10,7 @@ from tidemark.llm.toxicity import op5_toxicity
 
 QUERIES = {
     "op1_byte_bpe": op1_byte_bpe,
+    "op3_html": op3_html,
     "op4_simhash": op4_simhash,
     "op5_toxicity": op5_toxicity,
     "op6_mixing": op6_mixing,
