@@ -4,6 +4,7 @@ from tidemark.llm.bpe import op1_byte_bpe
 from tidemark.llm.html import op3_html
 from tidemark.llm.mixing import ORACLE as MIXING_ORACLE
 from tidemark.llm.mixing import op6_mixing
+from tidemark.llm.pq import op10_embeddings
 from tidemark.llm.quality import op2_quality
 from tidemark.llm.secrets import op9_secrets
 from tidemark.llm.simhash import op4_simhash
@@ -17,6 +18,7 @@ QUERIES = {
     "op5_toxicity": op5_toxicity,
     "op6_mixing": op6_mixing,
     "op9_secrets": op9_secrets,
+    "op10_embeddings": op10_embeddings,
 }
 
 ORACLES: dict[str, str] = {
