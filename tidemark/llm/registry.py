@@ -4,6 +4,7 @@ from tidemark.llm.bpe import op1_byte_bpe
 from tidemark.llm.html import op3_html
 from tidemark.llm.mixing import ORACLE as MIXING_ORACLE
 from tidemark.llm.mixing import op6_mixing
+from tidemark.llm.pii import op7_pii
 from tidemark.llm.pq import op10_embeddings
 from tidemark.llm.quality import op2_quality
 from tidemark.llm.secrets import op9_secrets
@@ -17,6 +18,7 @@ QUERIES = {
     "op4_simhash": op4_simhash,
     "op5_toxicity": op5_toxicity,
     "op6_mixing": op6_mixing,
+    "op7_pii": op7_pii,
     "op9_secrets": op9_secrets,
     "op10_embeddings": op10_embeddings,
 }

@@ -44,8 +44,8 @@ def with_spans(df: DataFrame, text: str, patterns: dict[str, tuple[str, str]]) -
 
 
 LUHN = (
-    "(aggregate(sequence(1, length({0})), 0, (s, i) -> s + CASE WHEN (length({0}) - i) % 2 = 0 THEN cast(substring({0}, i, 1) as int) "
-    "ELSE element_at(array(0, 2, 4, 6, 8, 1, 3, 5, 7, 9), cast(substring({0}, i, 1) as int) + 1) END) % 10 = 0)"
+    "(aggregate(sequence(1, length({0})), 0, (total, at) -> total + CASE WHEN (length({0}) - at) % 2 = 0 THEN cast(substring({0}, at, 1) as int) "
+    "ELSE element_at(array(0, 2, 4, 6, 8, 1, 3, 5, 7, 9), cast(substring({0}, at, 1) as int) + 1) END) % 10 = 0)"
 )
 """SQL that tells whether a string of digits passes the Luhn check; {0} is the string."""
 
