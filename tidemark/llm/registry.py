@@ -2,6 +2,7 @@
 
 from tidemark.llm.bpe import op1_byte_bpe
 from tidemark.llm.html import op3_html
+from tidemark.llm.jpeg import op8_media
 from tidemark.llm.mixing import ORACLE as MIXING_ORACLE
 from tidemark.llm.mixing import op6_mixing
 from tidemark.llm.pii import op7_pii
@@ -19,6 +20,7 @@ QUERIES = {
     "op5_toxicity": op5_toxicity,
     "op6_mixing": op6_mixing,
     "op7_pii": op7_pii,
+    "op8_media": op8_media,
     "op9_secrets": op9_secrets,
     "op10_embeddings": op10_embeddings,
 }
