@@ -1,8 +1,9 @@
 """Quality by compression: how much better a text packs with a dictionary of bad texts than with one of good texts.
 
 Two zstandard dictionaries are built from labelled good and bad texts. A text is cut into blocks, and each block is
-packed with either dictionary; the difference of the sizes over their sum is the text's raw score, which
-logistic regression turns into a probability. The dictionaries and the calibration see a bounded sample of labelled
+packed with either dictionary; the difference of the sizes over their sum is the text's raw score. Logistic
+regression turns it into a probability, together with how far the text packs at all: text that repeats itself packs
+to almost nothing with both dictionaries, and so shows no difference. The dictionaries and the calibration see a bounded sample of labelled
 rows, different ones each; scoring reads whole texts and shuffles nothing.
 
 Null texts count as empty ones, which have no difference. Repeated rows get equal scores. Labels of only one
@@ -14,6 +15,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from math import log
 
 import pyarrow as pa
 from pyspark.ml.classification import LogisticRegression
@@ -29,7 +31,7 @@ DICTIONARY_ROWS = 400
 """Most texts of each class that a dictionary is built from."""
 DICTIONARY_PARTS = 4_000
 DICTIONARY_BYTES = 64 * 1024
-BLOCK = 2_048
+BLOCK = 512
 LEVEL = 3
 
 
@@ -63,11 +65,12 @@ def packed_sizes(dictionaries: tuple[bytes, ...]):
     return sizes
 
 
-def with_difference(df: DataFrame, text: str, good: bytes, bad: bytes, drop_text: bool = False) -> tuple[DataFrame, str]:
-    """df with (size by the bad dictionary - size by the good one) / their sum: above 0 where a text is like the good ones."""
+def with_sizes(df: DataFrame, text: str, good: bytes, bad: bytes, drop_text: bool = False) -> tuple[DataFrame, list[str]]:
+    """df with two columns: (size by the bad dictionary - size by the good one) / their sum, above 0 where a text is
+    like the good ones; and the logarithm of the smaller size over the text's."""
     at = df.columns.index(text)
     kept = [i for i in range(len(df.columns)) if not (drop_text and i == at)]
-    (to,) = fresh(df, "difference")
+    names = fresh(df, "difference", "ratio")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
         sizes = packed_sizes((good, bad))
@@ -76,19 +79,20 @@ def with_difference(df: DataFrame, text: str, good: bytes, bad: bytes, drop_text
             for v in batch.column(at):
                 text = v.as_py()
                 g, b = sizes(text) if text else (0, 0)
-                made.append((b - g) / (b + g) if text else 0.0)
-            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in kept), pa.array(made, pa.float64())], names=[*(batch.schema.names[i] for i in kept), to])
+                made.append(((b - g) / (b + g), log(min(g, b) / len(text.encode()))) if text else (0.0, 0.0))
+            columns = [pa.array([m[i] for m in made], pa.float64()) for i in range(2)]
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in kept), *columns], names=[*(batch.schema.names[i] for i in kept), *names])
 
-    return df.mapInArrow(run, T.StructType([*(df.schema.fields[i] for i in kept), T.StructField(to, T.DoubleType())])), to
+    return df.mapInArrow(run, T.StructType([*(df.schema.fields[i] for i in kept), *(T.StructField(n, T.DoubleType()) for n in names)])), names
 
 
 @dataclass
 class Quality:
-    """A fitted scorer: probability = 1 / (1 + exp(-(slope * difference + offset))), or a constant."""
+    """A fitted scorer: probability = 1 / (1 + exp(-(slopes . (difference, ratio) + offset))), or a constant."""
 
     good: bytes
     bad: bytes
-    slope: float
+    slopes: tuple[float, float]
     offset: float
     constant: float | None = None
 
@@ -97,8 +101,9 @@ class Quality:
         kept = [c for c in df.columns if not (drop_text and c == text)]
         if self.constant is not None:
             return df.select(*kept, F.lit(self.constant).alias(to))
-        made, name = with_difference(df, text, self.good, self.bad, drop_text)
-        return made.withColumn(to, 1.0 / (1.0 + F.exp(-(self.slope * F.col(name) + self.offset)))).drop(name)
+        made, names = with_sizes(df, text, self.good, self.bad, drop_text)
+        raw = self.slopes[0] * F.col(names[0]) + self.slopes[1] * F.col(names[1]) + self.offset
+        return made.withColumn(to, 1.0 / (1.0 + F.exp(-raw))).select(*kept, to)
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", keep: Column | None = None, rows: int = SAMPLE_ROWS) -> Quality:
@@ -106,7 +111,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", keep: Column
     sample = labelled_sample(docs, labels, label, F.lit(True) if keep is None else keep, rows)
     seen = {r.label: r["count"] for r in sample.groupBy("label").count().collect()}
     if not seen.get(0) or not seen.get(1):
-        return Quality(b"", b"", 0.0, 0.0, 0.0 if seen.get(0) else 1.0)
+        return Quality(b"", b"", (0.0, 0.0), 0.0, 0.0 if seen.get(0) else 1.0)
     part = F.pmod(F.xxhash64(F.lit(2), "id"), F.lit(2))
     texts = {}
     for value in (0, 1):
@@ -116,10 +121,10 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", keep: Column
             chosen = [r.text for r in bounded_sample(sample.filter(F.col("label") == value), ["id"], DICTIONARY_ROWS, 13).select("text").collect()]
         texts[value] = chosen
     good, bad = build_dictionary(texts[1]), build_dictionary(texts[0])
-    measured, name = with_difference(sample.filter(part == 1) if min(seen.values()) >= 8 else sample, "text", good, bad, True)
-    data = VectorAssembler(inputCols=[name], outputCol="features").transform(measured.withColumn("weight", F.when(F.col("label") == 0, max(1.0, min(8.0, seen[1] / seen[0]))).otherwise(1.0)))
+    measured, names = with_sizes(sample.filter(part == 1) if min(seen.values()) >= 8 else sample, "text", good, bad, True)
+    data = VectorAssembler(inputCols=names, outputCol="features").transform(measured.withColumn("weight", F.when(F.col("label") == 0, max(1.0, min(8.0, seen[1] / seen[0]))).otherwise(1.0)))
     fitted = LogisticRegression(labelCol="label", weightCol="weight", regParam=1e-4, maxIter=50).fit(data)
-    return Quality(good, bad, float(fitted.coefficients[0]), float(fitted.intercept))
+    return Quality(good, bad, tuple(map(float, fitted.coefficients)), float(fitted.intercept))
 
 
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
