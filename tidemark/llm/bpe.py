@@ -15,6 +15,7 @@ table gives an empty table with the same columns. Lengths of text are bounded by
 from __future__ import annotations
 
 import base64
+import gc
 import re
 import struct
 from collections.abc import Iterable, Iterator
@@ -274,6 +275,9 @@ def _encoder(path: str, pattern: str, segment: str | None) -> Encoder:
     key = ("encoder", path, pattern, segment)
     if key not in _made:
         _made[key] = Encoder(read_ranks(path), pattern, segment)
+        # States are many small objects without cycles: searching them for cycles would take a sixth of the time.
+        gc.freeze()
+        gc.set_threshold(200_000, 100, 1_000)
     return _made[key]
 
 
