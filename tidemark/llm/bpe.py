@@ -28,6 +28,7 @@ from pyspark.sql import types as T
 from tidemark.llm.common import fresh, table
 
 STATES = 140_000
+PAIRS = 400_000
 SEGMENTS = 200_000
 SLICE = 256
 DECODE_CHUNK = 1 << 16
@@ -43,12 +44,11 @@ def read_ranks(path: str) -> dict[bytes, int]:
 
 
 class State:
-    __slots__ = ("configs", "next", "last")
+    __slots__ = ("configs", "next")
 
     def __init__(self, configs: tuple):
         self.configs = configs  # (pending token ids, last token id, node of the unfinished token), oldest first
-        self.next: dict[int, tuple[State, tuple] | None] = {}
-        self.last: dict[int, tuple] = {}  # all tokens still to come, by the input's last byte
+        self.next: dict[int, tuple] = {}  # by a byte: next state and tokens emitted; by 256 + the last byte: all tokens still to come
 
 
 class Transducer:
@@ -67,12 +67,16 @@ class Transducer:
             self.token_at[node] = rank
         self.inner = {key >> 8 for key in self.child}  # nodes of tokens that may still grow
         self.halves: dict[int, tuple[int, int] | None] = {}
+        self.states: dict[tuple, State] = {}
         self.forget()
 
     def forget(self) -> None:
+        # States can lead back to each other; cut apart, they are freed at once without a search for cycles.
+        for state in self.states.values():
+            state.next.clear()
         self.start = State((((), -1, 0),))
         self.states = {self.start.configs: self.start}
-        self.pairs: dict[tuple[int, int], bool] = {}
+        self.pairs: dict[int, bool] = {}
 
     def split(self, token: int) -> tuple[int, int] | None:
         """The two tokens whose merge makes a token last; None for a single byte."""
@@ -93,7 +97,7 @@ class Transducer:
         """
         if left < 0:
             return True
-        known = self.pairs.get((left, right))
+        known = self.pairs.get(left << 32 | right)
         if known is not None:
             return known
         a, b, limit = left, right, 1 << 60
@@ -110,7 +114,7 @@ class Transducer:
                 a, limit = halves_a[1], a
             else:
                 b, limit = halves_b[0], b + 1
-        self.pairs[left, right] = apart
+        self.pairs[left << 32 | right] = apart
         return apart
 
     def step(self, state: State, byte: int) -> tuple[State, tuple]:
@@ -143,6 +147,8 @@ class Transducer:
             if byte not in state.next:
                 state.next[byte] = None
                 return known, first[:agreed]
+            if len(self.states) >= STATES or len(self.pairs) >= PAIRS:
+                self.forget()
             self.states[configs] = known
         move = state.next[byte] = (known, first[:agreed])
         return move
@@ -152,7 +158,7 @@ class Transducer:
         for pending, last, node in state.configs:
             token = self.token_at.get(self.child.get(node * 256 + byte))
             if token is not None and self.may_follow(last, token):
-                state.last[byte] = pending = pending + (token,)
+                state.next[256 + byte] = pending = pending + (token,)
                 return pending
         raise ValueError("the vocabulary lacks single bytes of this text")
 
@@ -161,15 +167,13 @@ class Transducer:
         whole = self.ranks.get(piece)
         if whole is not None:
             return [whole]
-        if len(self.states) > STATES:
-            self.forget()
         out: list[int] = []
         state = self.start
         for byte in piece[:-1]:
             state, emitted = state.next.get(byte) or self.step(state, byte)
             if emitted:
                 out += emitted
-        out += state.last.get(piece[-1]) or self.end(state, piece[-1])
+        out += state.next.get(256 + piece[-1]) or self.end(state, piece[-1])
         return out
 
 
@@ -275,42 +279,62 @@ def _encoder(path: str, pattern: str, segment: str | None) -> Encoder:
     key = ("encoder", path, pattern, segment)
     if key not in _made:
         _made[key] = Encoder(read_ranks(path), pattern, segment)
-        # States are many small objects without cycles: searching them for cycles would take a sixth of the time.
+        # States are many small objects; searching them for cycles would take a sixth of the time, and forget() needs none.
         gc.freeze()
         gc.set_threshold(200_000, 100, 1_000)
     return _made[key]
 
 
-def _with(df: DataFrame, column: str, function, name: str, kind: T.DataType, replace: bool) -> DataFrame:
-    """df with a column made from another by mapInArrow, beside or in place of that one."""
+def _with(df: DataFrame, column: str, function, made: dict[str, T.DataType], replace: bool) -> DataFrame:
+    """df with columns made from another by mapInArrow, beside or in place of that one."""
     at = df.columns.index(column)
     kept = [i for i in range(len(df.columns)) if not (replace and i == at)]
     fields = [df.schema.fields[i] for i in kept]
-    (name,) = fresh(df.select(*(df[f"`{f.name}`"] for f in fields)) if replace else df, name)
+    names = fresh(df.select(*(df[f"`{f.name}`"] for f in fields)) if replace else df, *made)
+    kinds = [pa.binary() if isinstance(kind, T.BinaryType) else pa.string() for kind in made.values()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
         one = function()
-        made = pa.binary() if isinstance(kind, T.BinaryType) else pa.string()
         for whole in batches:
             for start in range(0, whole.num_rows, SLICE):
                 batch = whole.slice(start, SLICE)
                 values = [one(v.as_py()) for v in batch.column(at)]
-                yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in kept), pa.array(values, made)], names=[*(f.name for f in fields), name])
+                columns = [pa.array([v[k] for v in values], kind) for k, kind in enumerate(kinds)]
+                yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in kept), *columns], names=[*(f.name for f in fields), *names])
 
-    return df.mapInArrow(run, T.StructType([*fields, T.StructField(name, kind)]))
+    return df.mapInArrow(run, T.StructType([*fields, *(T.StructField(n, k) for n, k in zip(names, made.values()))]))
 
 
-def encode(df: DataFrame, text: str, ranks_path: str, pattern: str, to: str = "ids", segment: str | None = None, replace: bool = False) -> DataFrame:
+def _decoded(packed: bytes, tokens: dict[int, bytes]) -> str:
+    found = memoryview(packed).cast("I")
+    stream, out = StreamDecoder(), []
+    for at in range(0, len(found), DECODE_CHUNK):
+        out.append(stream.feed(b"".join(map(tokens.__getitem__, found[at : at + DECODE_CHUNK]))))
+    out.append(stream.finish())
+    return "".join(out)
+
+
+def encode(
+    df: DataFrame, text: str, ranks_path: str, pattern: str, to: str = "ids", segment: str | None = None, replace: bool = False, decoded: str | None = None
+) -> DataFrame:
     """Add `to`: the token ids of every whole text, packed as little-endian unsigned 32-bit integers (null: no ids).
 
-    `segment` may name a cheaper pattern that cuts only where `pattern` cuts too. `replace` drops the texts.
+    `segment` may name a cheaper pattern that cuts only where `pattern` cuts too. `replace` drops the texts. `decoded`
+    names a further column for what the ids decode to, made in the same worker with the same vocabulary.
     """
 
     def worker():
-        packed = _encoder(ranks_path, pattern, segment).packed
-        return lambda value: packed(value) if value else b""
+        encoder = _encoder(ranks_path, pattern, segment)
+        tokens = encoder.transducer.tokens
+
+        def one(value: str | None) -> tuple:
+            packed = encoder.packed(value) if value else b""
+            return (packed,) if decoded is None else (packed, _decoded(packed, tokens))
+
+        return one
 
-    return _with(df, text, worker, to, T.BinaryType(), replace)
+    made = {to: T.BinaryType()} | ({} if decoded is None else {decoded: T.StringType()})
+    return _with(df, text, worker, made, replace)
 
 
 def decode(df: DataFrame, ids: str, ranks_path: str, to: str = "decoded", replace: bool = False) -> DataFrame:
@@ -320,32 +344,21 @@ def decode(df: DataFrame, ids: str, ranks_path: str, to: str = "decoded", replac
         if ("tokens", ranks_path) not in _made:
             _made["tokens", ranks_path] = {i: t for t, i in read_ranks(ranks_path).items()}
         tokens = _made["tokens", ranks_path]
+        return lambda packed: (_decoded(packed or b"", tokens),)
 
-        def one(packed: bytes | None) -> str:
-            found = memoryview(packed or b"").cast("I")
-            stream, out = StreamDecoder(), []
-            for at in range(0, len(found), DECODE_CHUNK):
-                out.append(stream.feed(b"".join(map(tokens.__getitem__, found[at : at + DECODE_CHUNK]))))
-            out.append(stream.finish())
-            return "".join(out)
-
-        return one
-
-    return _with(df, ids, worker, to, T.StringType(), replace)
+    return _with(df, ids, worker, {to: T.StringType()}, replace)
 
 
 def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of every document and what they decode to, as digests. Null texts count as empty."""
     import public_tokenizers
 
-    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    encoded = encode(docs, "text", path, public_tokenizers.PATTERN, segment=SEGMENT, replace=True)
-    return digests(encoded, path)
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    return digests(encode(docs, "text", path, public_tokenizers.PATTERN, segment=SEGMENT, replace=True, decoded="decoded"))
 
 
-def digests(encoded: DataFrame, ranks_path: str, ids: str = "ids") -> DataFrame:
+def digests(encoded: DataFrame, ids: str = "ids", decoded: str = "decoded") -> DataFrame:
     """The other columns, with count and hash of the packed ids, and hash of the bytes they decode to."""
-    kept = [c for c in encoded.columns if c != ids]
-    counted = encoded.withColumns({"n_tokens": (F.octet_length(ids) / 4).cast("long"), "ids_sha256": F.sha2(ids, 256)})
-    return decode(counted, ids, ranks_path, replace=True).select(*kept, "n_tokens", "ids_sha256", F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+    kept = [c for c in encoded.columns if c not in (ids, decoded)]
+    return encoded.select(*kept, (F.octet_length(ids) / 4).cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2(F.col(decoded).cast("binary"), 256).alias("decoded_sha256"))
