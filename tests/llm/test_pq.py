@@ -44,6 +44,20 @@ def test_lists_in_parts(spark, monkeypatch):
     assert got == expected
 
 
+def test_recall_with_many_lists(spark, monkeypatch):
+    """Far more lists than PROBES, with near copies spread over several of them; probes as they are by default."""
+    monkeypatch.setattr(pq, "LIST_SIZE", 2)
+    rng = np.random.default_rng(3)
+    groups = rng.normal(size=(60, 32))
+    vectors = np.concatenate([np.repeat(groups, 80, axis=0) + rng.normal(size=(4800, 32)) * 0.2, rng.normal(size=(1200, 32))])
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)], "vec_id long, embedding array<double>")
+    expected = brute(list(range(6000)), vectors)
+    got = {r.id: r.n_links for r in pq.near_duplicates(df).collect()}
+    links = sum(n for n, _ in expected.values())
+    assert links > 100_000 and all(got[i] <= expected[i][0] for i in got)
+    assert sum(got.values()) >= 0.98 * links, sum(got.values()) / links
+
+
 def test_edges(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(1, None), (2, []), (3, [0.0, 0.0]), (4, [1.0, None]), (5, [nan, 1.0]), (6, [inf, 1.0]), (7, [1.0, 0.0]), (8, [2.0, 0.0]), (8, [2.0, 0.0]), (9, [1.0, 0.0, 0.0]), (10, [1.0]), (11, [0.0, 1.0]), (12, [-0.0, 1.0])]

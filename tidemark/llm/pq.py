@@ -4,7 +4,8 @@ Coarse centroids make inverted lists; what remains of a vector after its centroi
 vector asks the lists nearest to it: a table of its products with the codes gives an approximate cosine of each
 stored vector by look-ups, and the stored code's own error bounds how far that can be off, so that no pair is lost
 between look-up and the exact cosine in double precision that decides. Centroids and codes are fitted on a
-bounded sample; every vector is indexed.
+bounded sample; every vector is indexed. How many lists a vector asks is measured for each input: as many as find the
+share RECALL of the links in the sample, and of pairs made at the threshold and above.
 
 Equal vectors are one stored entry with its number, so copies cost nothing. Lists of any size are dealt out in parts
 of bounded size that meet in tasks of their own. A task returns counts for its vectors and only those links that
@@ -33,6 +34,10 @@ SAMPLE_VECTORS = 20_000
 LIST_SIZE = 512
 LISTS = 4_096
 PROBES = 8
+"""Fewest lists that a vector asks; more where RECALL takes more."""
+RECALL = 0.99
+HELD_OUT = 2_000
+"""Most vectors of the sample that lists are not fitted on, but their number to ask is measured on."""
 SUBSPACES = 16
 CODES = 64
 PART = 1_024
@@ -65,6 +70,43 @@ def nearest(points: np.ndarray, centres: np.ndarray) -> tuple[np.ndarray, np.nda
     return index, gap
 
 
+def asked_lists(centres: np.ndarray, held: np.ndarray, others: np.ndarray, threshold: float, recall: float = RECALL) -> int:
+    """How many nearest lists vectors must ask so that one of a pair's two finds the other, for that share of pairs.
+
+    Counted for the links that held-out vectors have in the sample, for those of as many others, and for pairs made of
+    the held-out ones in random directions at the threshold and nearer; the kind that takes most decides.
+    """
+    norms = (centres**2).sum(1) / 2
+    rng = np.random.default_rng(5)
+
+    def needed(left: np.ndarray, right: np.ndarray) -> int:
+        ranks = np.empty(len(left), np.int64)
+        for at in range(0, len(left), 512):
+            a, b = (x[at : at + 512] @ centres.T - norms for x in (left, right))
+            each = np.arange(len(a))
+            ranks[at : at + 512] = np.minimum((a > a[each, b.argmax(1)][:, None]).sum(1), (b > b[each, a.argmax(1)][:, None]).sum(1))
+        return int(np.sort(ranks)[int(np.ceil(recall * len(ranks))) - 1]) + 1
+
+    every, most = np.concatenate([held, others]), 1
+    for first in (0, len(held)):
+        found = []
+        for at in range(first, min(first + len(held), len(every)), 256):
+            a, b = np.nonzero(every[at : min(at + 256, first + len(held))] @ every.T >= threshold)
+            kept = np.flatnonzero(b != a + at)
+            kept = rng.choice(kept, min(len(kept), 10_000), replace=False)
+            found.append(np.stack([a[kept] + at, b[kept]]))
+        left, right = np.concatenate(found, axis=1)
+        if len(left):
+            taken = rng.choice(len(left), min(len(left), 10 * HELD_OUT), replace=False)
+            most = max(most, needed(every[left[taken]], every[right[taken]]))
+    for near in (threshold, (1 + threshold) / 2, (9 + threshold) / 10):
+        aside = rng.normal(size=held.shape)
+        aside -= (aside * held).sum(1)[:, None] * held
+        aside /= np.maximum(np.linalg.norm(aside, axis=1), 1e-300)[:, None]
+        most = max(most, needed(held, near * held + np.sqrt(max(0.0, 1 - near**2)) * aside))
+    return most
+
+
 @dataclass
 class Quantiser:
     centres: np.ndarray  # (lists, size)
@@ -72,15 +114,22 @@ class Quantiser:
     probes: int
 
     @classmethod
-    def fit(cls, sample: np.ndarray, rows: int, probes: int = PROBES) -> Quantiser:
+    def fit(cls, sample: np.ndarray, rows: int, probes: int | None = None, threshold: float = 0.9) -> Quantiser:
         lists = max(1, min(LISTS, len(sample) // 4, -(-rows // LIST_SIZE)))
-        centres = kmeans(sample, lists)
+        held = sample[:0]
+        if probes is None and lists > PROBES:
+            mixed = np.random.default_rng(4).permutation(len(sample))
+            aside = min(HELD_OUT, len(sample) // 10)
+            held, sample = sample[mixed[:aside]], sample[mixed[aside:]]
+        centres = kmeans(sample, min(lists, len(sample)))
+        if probes is None:
+            probes = max(PROBES, asked_lists(centres, held, sample, threshold)) if len(held) else lists
         rest = sample - centres[nearest(sample, centres)[0]]
         size = sample.shape[1]
         subspaces = next(m for m in range(min(SUBSPACES, size), 0, -1) if size % m == 0)
         pieces = rest.reshape(len(rest), subspaces, -1)
         codes = np.stack([kmeans(pieces[:, m], min(CODES, len(rest)), seed=m) for m in range(subspaces)])
-        return cls(centres, codes, min(probes, lists))
+        return cls(centres, codes, min(probes, len(centres)))
 
     def place(self, vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(probed lists, nearest first; codes) of unit vectors."""
@@ -138,8 +187,11 @@ def _meet(quantiser: Quantiser, threshold: float, listed: int, asked: pa.Table,
     return out + [(int(left[k]), 0, int(right[k])) for k in kept]
 
 
-def near_duplicates(df: DataFrame, id_column: str = "vec_id", vector: str = "embedding", threshold: float = 0.9, probes: int = PROBES) -> DataFrame:
-    """(id, n_links, component) of every vector: others linked directly, and the smallest id reachable."""
+def near_duplicates(df: DataFrame, id_column: str = "vec_id", vector: str = "embedding", threshold: float = 0.9, probes: int | None = None) -> DataFrame:
+    """(id, n_links, component) of every vector: others linked directly, and the smallest id reachable.
+
+    A vector asks as many lists as the measured recall takes, or `probes` where that is given.
+    """
     rows = df.select(F.col(id_column).alias("id"), F.col(vector).cast("array<double>").alias("v"))
     fine = F.coalesce(F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf"))) & F.exists("v", lambda x: x != 0), F.lit(False))
     rows = checkpointed(rows.withColumn("v", F.when(fine, F.col("v"))))
@@ -163,11 +215,11 @@ def near_duplicates(df: DataFrame, id_column: str = "vec_id", vector: str = "emb
     return linked.unionByName(rows.filter("v is null").select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component")))
 
 
-def _search(stored: DataFrame, rows: int, threshold: float, probes: int) -> DataFrame:
+def _search(stored: DataFrame, rows: int, threshold: float, probes: int | None) -> DataFrame:
     """(rep, n, other): links counted (other null), or links that hold groups together."""
     sample = np.array([r.v for r in bounded_sample(stored, ["rep"], SAMPLE_VECTORS, 3).select("v").collect()])
     sample /= np.linalg.norm(sample, axis=1)[:, None]
-    quantiser = Quantiser.fit(sample, rows, probes)
+    quantiser = Quantiser.fit(sample, rows, probes, threshold)
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
         for whole in batches:
