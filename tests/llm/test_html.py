@@ -51,3 +51,11 @@ def test_long_and_broken_pages():
     for broken in ("<", "<p", "<!--", "<p>a<!-- b", "<script>x", "&#xZZ;", "<a href='", "</p></p>", "<p>1 < 2 and 3 > 2</p>"):
         html.extract(broken, None)
     assert html.extract("<p>1 < 2 and 3 > 2</p>", None) == "1 < 2 and 3 > 2"
+
+
+def test_raw_elements_hide_all_of_their_content():
+    """Quotes and tags inside of scripts and styles do not reach the markup after them."""
+    for raw in ("<script>for(i=0;i<n;i++){} // don't stop</script>", "<style>/* a<b \" */</style>", "<textarea><b '</textarea>"):
+        page = f"<body>{raw}<nav>It's a menu</nav><article><p>One isn't</p><p>Two</p></article><footer>end</footer></body>"
+        assert html.extract(page, None) == "One isn't\nTwo"
+        assert html.extract(page.replace("'s", "s").replace("isn't", "is"), None) == "One is\nTwo"

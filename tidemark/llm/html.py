@@ -71,7 +71,6 @@ def blocks(page: str) -> tuple[list[tuple[str, int]], list[tuple[str, int, str,
     held: list[str] = []
     links = linked = 0
     at = 0
-    raw: str | None = None
 
     def text(piece: str) -> None:
         nonlocal linked
@@ -102,15 +101,9 @@ def blocks(page: str) -> tuple[list[tuple[str, int]], list[tuple[str, int, str,
             links -= stack[-1].tag == "a"
             stack.pop()
 
-    for m in TAG.finditer(page):
-        if m.start() < at:
-            continue
+    # Each search starts where the last tag or raw element ended, as what looks like a tag inside a raw one is none.
+    while m := TAG.search(page, at):
         tag = (m[2] or "").lower()
-        if raw is not None:
-            if not (m[1] and tag == raw):
-                continue
-            raw, at = None, m.end()
-            continue
         text(page[at : m.start()])
         at = m.end()
         if not tag:
@@ -171,7 +164,7 @@ def blocks(page: str) -> tuple[list[tuple[str, int]], list[tuple[str, int, str,
             flush()
         stack.append(Element(tag, path, away, box, up))
         links += tag == "a"
-    if raw is None and at < len(page):
+    if at < len(page):
         text(page[at:])
     close(1)
     flush()
