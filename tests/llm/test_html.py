@@ -59,3 +59,17 @@ def test_raw_elements_hide_all_of_their_content():
         page = f"<body>{raw}<nav>It's a menu</nav><article><p>One isn't</p><p>Two</p></article><footer>end</footer></body>"
         assert html.extract(page, None) == "One isn't\nTwo"
         assert html.extract(page.replace("'s", "s").replace("isn't", "is"), None) == "One is\nTwo"
+
+
+def test_deep_pages_are_whole():
+    """Boilerplate below thousands of open elements stays out, and what follows them stays inside its container."""
+    deep = "<div>" * 20_000 + "<nav>menu words</nav><p>deep</p><div class=ads>buy</div>" + "</div>" * 20_000
+    assert html.extract(f"<article><p>first</p>{deep}<p>after</p></article><p>outside</p>", None) == "first\ndeep\nafter"
+    paths = [path for path, *_ in html.blocks(deep)[1] if path]
+    assert len(set(paths)) == len(paths) == 20_001 and max(map(len, paths)) < 1_000
+
+
+def test_all_classes_tell_boxes_apart():
+    page = '<body><div class="a b c d z1"><p>wanted text</p></div><div class="a b c d y"><p>other text, and longer</p></div></body>'
+    wanted = next(path for path, *_ in html.blocks(page)[1] if "z#" in path)
+    assert html.extract(page, wanted) == "wanted text"

@@ -14,8 +14,10 @@ that break off give what they hold.
 
 from __future__ import annotations
 
+import hashlib
 import html
 import re
+from collections import defaultdict
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
@@ -29,6 +31,8 @@ HOSTS_BROADCAST = 50_000
 """The winning paths are broadcast if there are at most so many hosts, and joined with salted keys beyond."""
 SALTS = 32
 SLICE = 256
+PATH = 256
+"""Characters up to which a path is kept as it is."""
 TAG = re.compile(r"<(?:!--.*?(?:-->|$)|(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*(?:\"|$)|'[^']*(?:'|$))*)(?:>|$)|[!?][^>]*(?:>|$))", re.S)
 ATTRIBUTE = re.compile(r"([a-zA-Z_:][-a-zA-Z0-9_:.]*)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
 RAW = {"script", "style", "noscript", "template", "textarea", "svg", "math", "iframe", "object", "title", "xmp", "noembed", "noframes"}
@@ -57,7 +61,14 @@ class Element:
 
 def _label(tag: str, attributes: dict[str, str]) -> str:
     classes = sorted({re.sub(r"\d+", "#", c.lower()) for c in attributes.get("class", "").split()})
-    return tag + "".join("." + c for c in classes[:4])
+    return tag + "".join("." + c for c in classes)
+
+
+def _path(above: str, label: str) -> str:
+    """The path below another; long ones go on from a digest, so that deep pages take memory in proportion."""
+    if len(above) > PATH:
+        above = hashlib.blake2b(above.encode("utf-8", "surrogatepass"), digest_size=16).hexdigest()
+    return f"{above}>{label}"
 
 
 def blocks(page: str) -> tuple[list[tuple[str, int]], list[tuple[str, int, str, int, int, int]]]:
@@ -68,6 +79,9 @@ def blocks(page: str) -> tuple[list[tuple[str, int]], list[tuple[str, int, str,
     found: list[tuple[str, int]] = []
     boxes: list[list] = [["", -1, "", 0, 0, 0]]
     stack = [Element("", "", False, 0, None)]
+    # Places in the stack, so that no tag has to search through it: those of each tag, and of all blocks.
+    places: dict[str, list[int]] = defaultdict(list)
+    block_places = [0]
     held: list[str] = []
     links = linked = 0
     at = 0
@@ -99,8 +113,14 @@ def blocks(page: str) -> tuple[list[tuple[str, int]], list[tuple[str, int, str,
             if stack[-1].tag in BLOCKS:
                 flush()
             links -= stack[-1].tag == "a"
+            places[stack[-1].tag].pop()
+            if stack[-1].tag in BLOCKS:
+                block_places.pop()
             stack.pop()
 
+    def last(tags: Iterable[str]) -> int:
+        return max((places[t][-1] for t in tags if places[t]), default=0)
+
     # Each search starts where the last tag or raw element ended, as what looks like a tag inside a raw one is none.
     while m := TAG.search(page, at):
         tag = (m[2] or "").lower()
@@ -109,12 +129,9 @@ def blocks(page: str) -> tuple[list[tuple[str, int]], list[tuple[str, int, str,
         if not tag:
             continue
         if m[1]:
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k].tag == tag:
-                    close(k)
-                    break
-                if tag not in BLOCKS and stack[k].tag in BLOCKS:
-                    break  # an inline end tag does not reach beyond its block
+            k = last((tag,))
+            if k and (tag in BLOCKS or k > block_places[-1]):  # an inline end tag does not reach beyond its block
+                close(k)
             continue
         if tag == "br":
             text(" ")
@@ -131,29 +148,20 @@ def blocks(page: str) -> tuple[list[tuple[str, int]], list[tuple[str, int, str,
                 flush()
             continue
         if tag in P_CLOSERS:
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k].tag == "p":
-                    close(k)
-                    break
-                if stack[k].tag in BLOCKS:
-                    break
+            if stack[block_places[-1]].tag == "p":
+                close(block_places[-1])
             flush()
         if tag in CLOSED_BY:
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k].tag in CLOSED_BY[tag]:
-                    close(k)
-                    break
-                if stack[k].tag in ROW_PARENTS:
-                    break
+            k = last(CLOSED_BY[tag])
+            if k > last(ROW_PARENTS):
+                close(k)
         if tag == "body" and stack[-1].tag == "head":
             close(len(stack) - 1)
-        if len(stack) > 512:
-            continue
         up = stack[-1]
         attributes = {n.lower(): a or b or c for n, a, b, c in ATTRIBUTE.findall(m[3])} if m[3] else {}
         path, box = up.path, up.box
         if tag in BOXES:
-            path = f"{up.path}>{_label(tag, attributes)}"
+            path = _path(up.path, _label(tag, attributes))
             boxes.append([path, up.box, tag, 0, 0, 0])
             box = len(boxes) - 1
         named = f"{attributes.get('class', '')} {attributes.get('id', '')}"
@@ -162,6 +170,9 @@ def blocks(page: str) -> tuple[list[tuple[str, int]], list[tuple[str, int, str,
             away = AWAY_NAMES.search(named) is not None or attributes.get("role", "").lower() in AWAY_ROLES or re.search(r"display:\s*none|visibility:\s*hidden", attributes.get("style", "")) is not None
         if away and not up.away:
             flush()
+        places[tag].append(len(stack))
+        if tag in BLOCKS:
+            block_places.append(len(stack))
         stack.append(Element(tag, path, away, box, up))
         links += tag == "a"
     if at < len(page):
