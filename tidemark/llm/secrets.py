@@ -1,7 +1,7 @@
 """Secret scans: a random forest judges candidates found by wide patterns, with DataFrame operations only.
 
-Candidates are runs of at least ten token characters that hold a digit or follow an assignment to a
-telling name. The forest sees their length, mix and transitions of character classes, how much of them a
+Candidates are runs of at least ten token characters that hold a digit or begin with a known prefix, and values of any
+length and any characters but white space, quotes and brackets that follow an assignment to a telling name. The forest sees their length, mix and transitions of character classes, how much of them a
 dictionary of common syllables covers, whether they look like a path, and neighbouring words. It is fitted on
 labelled findings that rules write out below (formats and contexts of real secrets, and of what is
 mistaken for them: hashes of commits, identifiers, file names, numbers, words), since the tables hold no such labels.
@@ -27,13 +27,27 @@ from tidemark.llm.common import fresh, table
 from tidemark.llm.spans import context, redacted, sql_string, with_spans
 from tidemark.llm.trees import forest_probability
 
-CANDIDATE = r"(?:\G|(?<![A-Za-z0-9_+/=.~-]))(?=[A-Za-z_+/=.~-]*[0-9])[A-Za-z0-9_+/=.~-]{10,}"
+PREFIXES = r"(?:AKIA|ASIA|AIza|gh[pousr]_|github_pat_|glpat-|sk-|sk_live_|rk_live_|xox[abprs]-|eyJ[A-Za-z0-9_-]{10,}\.|ya29\.|npm_|SG\.|hf_)"
+PASS_NAMES = r"(?:pass(?:word|wd|phrase|code)|passwort|kennwort|contrase[nñ]a|mot de passe|(?<![a-z])(?:pass|pwd))s?"
+NAMES = rf"(?:{PASS_NAMES}|secret|token|credentials?|geheim|(?:api|access|private|auth|account|encryption|signing|secret)[_ -]?key|(?<![a-z])(?:key|auth|bearer|clave))"
+SIGN = r"""(?:_?(?:key|token|id|value|hash|secret)|_[a-z0-9_]{1,20})?["')\]]?(?:\s{0,8}(?::=|=>|==|[:=])\s{0,8}["'(`]?|\s{1,8}["'`]|\s{1,4}(?:is|ist|es|est)\s{1,4}["'`]?)"""
+VALUE = r"""(?![:=>])(?:[^\s"'`<>()\[\]{},;|\\&]|&(?![A-Za-z_]+=))++"""
+CANDIDATE = (
+    r"(?:\G|(?<![A-Za-z0-9_+/=.~-]))(?=[A-Za-z_+/=.~-]*[0-9])[A-Za-z0-9_+/=.~-]{10,}"
+    rf"|(?<![A-Za-z0-9_+.~-])(?={PREFIXES})[A-Za-z0-9_+/=.~-]{{10,}}"
+    # Two short looks at what is before leave few places for the long one.
+    r"|(?<=[\s:=>\"'(`])(?=\S)(?<=[:=>\"'(`]\s{0,8}|(?<![A-Za-z])(?i:is|ist|es|est|bearer)\s{1,4})"
+    rf"(?<=(?i:{NAMES}{SIGN}|(?<![a-z])bearer\s{{1,4}})){VALUE}"
+)
 THRESHOLD = 0.5
 FINDINGS = 6_000
 """Labelled findings that the forest is fitted on."""
 SECRET_WORDS = r"(?i)(pass(word|wd|phrase)?|pwd|secret|token|api[_ -]?key|access[_ -]?key|auth|bearer|credential|private|geheim|kennwort|passwort|contrase|clave|mot de passe|key)[a-z_]*[\"')]?\s*(is|[:=]+>?)?\s*[\"'(]*$"
 PLAIN_WORDS = r"(?i)(sha-?(1|256|512)?|md5|commit|checksum|digest|uuid|guid|etag|isbn|issn|doi|version|build|revision|order|invoice|ticket|file|image|page|id|ref|phone|tel|card|account)[a-z_ ]*[#:=]?\s*[\"'(]*$"
-PREFIX = r"^(?:password=|passwd=|pwd=|secret=|token=|key=)?(AKIA|ASIA|AIza|gh[pousr]_|github_pat_|glpat-|sk-|sk_live_|rk_live_|xox[abprs]-|eyJ[A-Za-z0-9_-]{10,}\.|ya29\.|npm_|SG\.|hf_)"
+PREFIX = rf"^(?:password=|passwd=|pwd=|secret=|token=|key=)?{PREFIXES}"
+PASS_TOLD = rf"(?i){PASS_NAMES}{SIGN}$"
+TOLD = rf"(?i){NAMES}{SIGN}$"
+PLACEHOLDER = r"(?i)^(?:required|optional|none|null|nil|true|false|yes|no|string|str|text|value|field|reset|policy|manager|hash|hashed|changed?|your[-_a-z]*|x+|\*+|\.+|-+|n/a|empty|missing|invalid|valid|expired|incorrect|correct|wrong|undefined|type|varchar|char|int|input|the|an?|is|was|are|not|and|or|to|for|in|of|must|should|can|will|that|this|it|\$.*|%.*)[.:!?*]*$"
 ASSIGNED = r"(?i)^(pass(word|wd)?|pwd|secret|token|api_?key|key|auth)="
 SYLLABLES = "tion|ing|the|and|ver|ent|ich|ein|ung|der|sch|est|ment|que|les|pre|con|com|pro|ter|ere|ion|ado|aci|res|ers|ist|able|ation|port|serv|data|test|user|file|name|page|index|home|img|mail|example"
 FEATURES = {
@@ -53,6 +67,9 @@ FEATURES = {
     "dashed": "cast(t rlike '^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-' as double)",
     "prefix": f"cast(t rlike {sql_string(PREFIX)} as double)",
     "assigned": f"cast(t rlike {sql_string(ASSIGNED)} as double)",
+    "told": f"cast(l rlike {sql_string(TOLD)} as double)",
+    "pass_told": f"cast(l rlike {sql_string(PASS_TOLD)} as double)",
+    "placeholder": f"cast(t rlike {sql_string(PLACEHOLDER)} as double)",
     "secret_word": f"cast(l rlike {sql_string(SECRET_WORDS)} as double)",
     "plain_word": f"cast(l rlike {sql_string(PLAIN_WORDS)} as double)",
     "at_sign": "cast(l like '%@' or r like '@%' as double)",
@@ -89,7 +106,7 @@ def findings(rows: int = FINDINGS, seed: int = 5) -> list[tuple[str, str, str, i
 
     def secret() -> tuple[str, str, str]:
         value = rng.choice([lambda: some(hexes, 16, 64), lambda: some(alnum, 12, 48), lambda: some(alnum + "+/", 24, 60) + "==", lambda: word(1, 2) + some(string.digits, 2, 5) + some(alnum, 4, 8)])()
-        kind = rng.randrange(8)
+        kind = rng.randrange(11)
         if kind == 0:
             return rng.choice(["AKIA", "ASIA"]) + some(upper, 16), lead(), tail()
         if kind == 1:
@@ -99,11 +116,24 @@ def findings(rows: int = FINDINGS, seed: int = 5) -> list[tuple[str, str, str, i
             return "eyJ" + some(alnum, 17, 40) + "." + some(alnum + "_-", 30, 90) + "." + some(alnum + "_-", 30, 44), lead() + rng.choice(["", "Bearer ", "token: "]), tail()
         if kind in (3, 4):
             return rng.choice(["password=", "passwd=", "pwd=", "secret=", "token=", "key="]) + value, lead(), tail()
+        if kind >= 8:
+            # Without a digit, short or made of words: the name of what is assigned tells.
+            name = rng.choice(["password", "passwd", "pwd", "passphrase", "db_password", "Password", "Passwort", "PASSWORD"])
+            chosen = rng.randrange(4)
+            if chosen == 0:
+                value = some(string.ascii_letters, 4, 24)
+                name = rng.choice([name, "secret", "token", "api_key", "access_key", "client_secret"])
+            elif chosen == 1:
+                value = some(alnum + "!@#$%*?", 3, 9)
+            else:
+                value = "".join(rng.choice([str.capitalize, str.lower])(word(1, 3)) for _ in range(rng.randint(1, 3))) + rng.choice(["", "", "!", "."])
+            quote = rng.choice(['"', "'", "", ""])
+            return value, lead() + name + rng.choice(["=", "=", ": ", " = ", ":", '": ']) + quote, quote + tail()
         quote = rng.choice(['"', "'", ""])
         return value, lead() + rng.choice(names) + rng.choice([" = ", "=", ": ", ":", " "] if quote else [" = ", ": ", ":"]) + quote, quote + tail()
 
     def other() -> tuple[str, str, str]:
-        kind = rng.randrange(12)
+        kind = rng.randrange(15)
         if kind == 0:
             return some(hexes, rng.choice([10, 12, 32, 40, 64])), lead() + rng.choice(plain) + " ", tail()
         if kind == 1:
@@ -126,13 +156,19 @@ def findings(rows: int = FINDINGS, seed: int = 5) -> list[tuple[str, str, str, i
             return word(2, 4).capitalize() + word(2, 3).capitalize() + some(string.digits, 1, 2), lead(), tail()
         if kind == 10:
             return word(1, 3) + "." + some(string.digits, 1, 3) + "." + word(1, 3), lead(), tail()
+        if kind >= 12:
+            name = rng.choice(["password", "passwd", "secret", "token", "api_key", "key", "auth", "access_key", "Password"])
+            if rng.random() < 0.5:
+                value = rng.choice("required optional none null true false string text value field reset policy hash changed your_password your-token xxxx ******** n/a missing invalid expired wrong the a must not".split())
+                return value + rng.choice(["", "", ".", "!"]), lead() + name + rng.choice([": ", "=", " = ", " is "]), tail()
+            name, value = rng.choice([("key", word(1, 3).capitalize()), ("auth", word(1, 2) + "@" + word() + ".example.com"), ("key", "https://" + word() + ".example.com/" + word()), ("token", word(1, 2)), ("secret", word(1, 2)), ("key", word(1, 3)), ("key", some(string.digits, 1, 3)), ("private key", word(1, 3))])
+            return value, lead() + name + rng.choice([": ", " is ", ": "]), tail()
         return rng.choice(["978-", "v", "ISBN-", "doi.", "10."]) + some(string.digits + ".-", 8, 13) + some(string.digits, 2), lead() + rng.choice(["isbn ", "version ", "doi ", ""]), tail()
 
     out = []
     for i in range(rows):
         (value, before, after), label = (secret(), 1) if i % 2 else (other(), 0)
-        if len(value) >= 10 and any(c.isdigit() for c in value):
-            out.append((value, before[-24:], after[:12], label))
+        out.append((value, before[-24:], after[:12], label))
     return out
 
 
@@ -154,7 +190,7 @@ class Scanner:
         (to,) = fresh(df, to)
         named = [f"c{i}" for i in range(len(df.columns))]
         at = named[df.columns.index(text)]
-        found = with_spans(df.toDF(*named), at, {"candidates": (CANDIDATE, f"{at} rlike '[0-9]'")})
+        found = with_spans(df.toDF(*named), at, {"candidates": (CANDIDATE, "true")})
         left, right = context(at, "c")
         seen = f"transform(candidates, c -> named_struct('c', c, 'l', {left}, 'r', {right}))"
         sized = ", ".join(f"'{n}', cast({sql} as double)" for n, sql in zip(FEATURES, _features("s.c.text", "s.l", "s.r")))
