@@ -41,11 +41,32 @@ def test_words_of_the_documents():
 @settings(max_examples=300, deadline=None)
 @given(st.binary(max_size=60), st.lists(st.integers(0, 60), max_size=8))
 def test_stream_decoding_in_any_portions(data, cuts):
-    stream, out, at = bpe.StreamDecoder(), "", 0
-    for cut in sorted({min(c, len(data)) for c in cuts} | {len(data)}):
-        out += stream.feed(data[at:cut])
-        at = cut
-    assert out + stream.finish() == data.decode("utf-8", "replace")
+    edges = [0, *sorted({min(c, len(data)) for c in cuts}), len(data)]
+    tokens = {i: data[a:b] for i, (a, b) in enumerate(zip(edges, edges[1:]))}
+    stream = bpe.StreamDecoder(tokens)
+    out = "".join(stream.feed([i]) for i in tokens) + stream.finish()
+    assert out == data.decode("utf-8", "replace")
+    whole = bpe.StreamDecoder(tokens)
+    assert whole.feed(list(tokens)) + whole.finish() == out
+
+
+def test_forgetting_changes_no_ids(monkeypatch):
+    """Bounds far below what the texts need: all is forgotten again and again, and ids stay the same."""
+    for name, bound in (("STATES", 40), ("PAIRS", 60), ("SEGMENTS", 5), ("MET", 1 << 8), ("LOOKAHEAD", 200)):
+        monkeypatch.setattr(bpe, name, bound)
+    small = bpe.Encoder(RANKS, P.PATTERN, bpe.SEGMENT)
+    for text in pq.read_table("/root/testdata/sf0.001/documents.parquet")["text"].to_pylist()[:60]:
+        text = (text or "")[::-1][:4000]
+        assert small.packed(text) == b"".join(i.to_bytes(4, "little") for i in KNOWN.encode_ordinary(text))
+        assert len(small.transducer.packed) <= 40 and len(small.known.young) <= 5
+    small.release()
+    assert not small.known.young and len(small.transducer.packed) == 1
+
+
+def test_long_pieces_emit_before_their_end(monkeypatch):
+    monkeypatch.setattr(bpe, "LOOKAHEAD", 64 + max(map(len, RANKS)))
+    for piece in ("ab" * 3_000, "".join(sorted("thequickbrownfox" * 300)), "\u00e9\u4e2d" * 900, "a" * 5_000):
+        assert FST.encode(piece.encode()) == KNOWN.encode_ordinary(piece)
 
 
 def test_frame(spark):

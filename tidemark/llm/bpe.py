@@ -2,11 +2,14 @@
 
 A sequence of tokens is the encoding of its bytes exactly when every adjacent pair of its tokens is the
 encoding of the pair's bytes. That local condition makes encoding a finite-state transduction: a
-configuration is (tokens not emitted yet, last complete token, bytes of the unfinished token). Reading a byte
-extends every unfinished token that still is a prefix of some token, and also closes it where it is a
-token that may follow the last one. The determinised state is the set of configurations; whatever all of them
-agree on is emitted, so tokens leave after a lookahead bounded by the longest token. States and transitions are
-built when first needed and forgotten when there are too many.
+configuration is (last complete token, bytes of the unfinished token). Reading a byte extends every unfinished token
+that still is a prefix of some token, and also closes it where it is a token that may follow the last one. The
+determinised state is the set of configurations; the token closed in it is the last one of the input so far, so tokens
+are read off backwards. In long inputs those that all configurations share are emitted after a bounded lookahead.
+States and transitions are built when needed, kept from their second use and forgotten when there are too many. Pieces
+that are tokens are not walked through, and the ids of recent short segments are kept beside the transducer.
+
+Decoding is a stream as well: every byte is read by a state machine of well-formed UTF-8.
 
 Null texts encode as empty ones: no tokens. Repeated rows and extra columns pass through unchanged; an empty
 table gives an empty table with the same columns. Lengths of text are bounded by memory of one row only.
@@ -15,10 +18,11 @@ table gives an empty table with the same columns. Lengths of text are bounded by
 from __future__ import annotations
 
 import base64
-import gc
 import re
 import struct
-from collections.abc import Iterable, Iterator
+import sys
+from array import array
+from collections.abc import Iterable, Iterator, Mapping
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -27,9 +31,15 @@ from pyspark.sql import types as T
 
 from tidemark.llm.common import fresh, table
 
-STATES = 140_000
-PAIRS = 400_000
-SEGMENTS = 200_000
+STATES = 130_000
+PAIRS = 250_000
+SEGMENTS = 90_000
+"""Bounds of a worker's memory (about 120 MB in all): what is beyond them is forgotten and made again when needed."""
+MET = 1 << 20
+NODE = 24
+LOW = (1 << NODE) - 1
+LOOKAHEAD = 1_024
+"""Bytes after which the tokens are emitted that are certain by then; far more than the longest token."""
 SLICE = 256
 DECODE_CHUNK = 1 << 16
 SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
@@ -43,40 +53,40 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines) if token}
 
 
-class State:
-    __slots__ = ("configs", "next")
-
-    def __init__(self, configs: tuple):
-        self.configs = configs  # (pending token ids, last token id, node of the unfinished token), oldest first
-        self.next: dict[int, tuple] = {}  # by a byte: next state and tokens emitted; by 256 + the last byte: all tokens still to come
-
-
 class Transducer:
     """From bytes to token ids, for one vocabulary."""
 
     def __init__(self, ranks: dict[bytes, int]):
         self.ranks = ranks
         self.tokens = {i: t for t, i in ranks.items()}
-        # The trie of the tokens: node * 256 + byte to node, root 0; and the token that ends at a node.
+        # The trie of the tokens: node * 256 + byte to node, root 0; by node the token that ends there (or -1), its depth, and whether it has children.
         self.child: dict[int, int] = {}
-        self.token_at: dict[int, int] = {}
+        self.token_at, self.depth = [-1], bytearray(1)
         for token, rank in ranks.items():
             node = 0
             for byte in token:
-                node = self.child.setdefault(node * 256 + byte, len(self.child) + 1)
+                following = self.child.setdefault(node * 256 + byte, len(self.token_at))
+                if following == len(self.token_at):
+                    self.token_at.append(-1)
+                    self.depth.append(min(255, self.depth[node] + 1))
+                node = following
             self.token_at[node] = rank
-        self.inner = {key >> 8 for key in self.child}  # nodes of tokens that may still grow
+        self.inner = bytearray(len(self.token_at))
+        for key in self.child:
+            self.inner[key >> 8] = 1
         self.halves: dict[int, tuple[int, int] | None] = {}
-        self.states: dict[tuple, State] = {}
         self.forget()
 
     def forget(self) -> None:
-        # States can lead back to each other; cut apart, they are freed at once without a search for cycles.
-        for state in self.states.values():
-            state.next.clear()
-        self.start = State((((), -1, 0),))
-        self.states = {self.start.configs: self.start}
+        """Drop all states, transitions and known pairs; the vocabulary stays."""
+        # A state is its packed configurations, oldest first: (last complete token + 1) << NODE | node of the unfinished one.
+        self.packed: list[bytes] = [pack([0])]
+        self.number: dict[bytes, int] = {self.packed[0]: 0}
+        self.closed = [-1]  # by state, the token that is complete where the input ends there
+        # By state * 256 + byte: the next state.
+        self.moves: dict[int, int] = {}
         self.pairs: dict[int, bool] = {}
+        self.met = bytearray(MET)
 
     def split(self, token: int) -> tuple[int, int] | None:
         """The two tokens whose merge makes a token last; None for a single byte."""
@@ -117,50 +127,43 @@ class Transducer:
         self.pairs[left << 32 | right] = apart
         return apart
 
-    def step(self, state: State, byte: int) -> tuple[State, tuple]:
-        """The next state and the tokens emitted on the way."""
+    def step(self, configs: bytes, byte: int) -> bytes:
+        """The configurations after one more byte. The last of them has the token that ends here, and a new one begun."""
         found = []
-        closed = None
-        child, token_at, inner = self.child.get, self.token_at.get, self.inner
-        for pending, last, node in state.configs:
-            node = child(node * 256 + byte)
+        closed = -1
+        for c in unpack(configs):
+            node = self.child.get((c & LOW) << 8 | byte)
             if node is None:
                 continue
-            if node in inner:
-                found.append((pending, last, node))
-            if closed is None:
-                token = token_at(node)
-                if token is not None and self.may_follow(last, token):
-                    closed = (pending + (token,), token, 0)
-        if closed is None:
+            if self.inner[node]:
+                found.append(c & ~LOW | node)
+            if closed < 0:
+                token = self.token_at[node]
+                if token >= 0 and self.may_follow((c >> NODE) - 1, token):
+                    closed = token
+        if closed < 0:
             raise ValueError("the vocabulary lacks single bytes of this text")
-        found.append(closed)
-        agreed = 0
-        first = found[0][0]
-        while agreed < len(first) and all(len(c[0]) > agreed and c[0][agreed] == first[agreed] for c in found):
-            agreed += 1
-        configs = tuple((c[0][agreed:], c[1], c[2]) for c in found) if agreed else tuple(found)
-        known = self.states.get(configs)
+        found.append(closed + 1 << NODE)
+        return pack(found)
+
+    def move(self, state: int, byte: int) -> int | bytes:
+        """The next state's number, or its configurations while it is not kept: it is from its second use on."""
+        configs = self.step(self.packed[state], byte)
+        key = state << 8 | byte
+        known = self.number.get(configs)
         if known is None:
-            known = State(configs)
-            # A transition is kept from its second use on: most are met once only.
-            if byte not in state.next:
-                state.next[byte] = None
-                return known, first[:agreed]
-            if len(self.states) >= STATES or len(self.pairs) >= PAIRS:
+            # Most are met once only. Two keys may share a mark; one is then kept early.
+            if not self.met[key % MET]:
+                self.met[key % MET] = 1
+                return configs
+            if len(self.packed) >= STATES or len(self.pairs) >= PAIRS:
                 self.forget()
-            self.states[configs] = known
-        move = state.next[byte] = (known, first[:agreed])
-        return move
-
-    def end(self, state: State, byte: int) -> tuple:
-        """The tokens still to come when the input ends with this byte: those of the configuration it closes."""
-        for pending, last, node in state.configs:
-            token = self.token_at.get(self.child.get(node * 256 + byte))
-            if token is not None and self.may_follow(last, token):
-                state.next[256 + byte] = pending = pending + (token,)
-                return pending
-        raise ValueError("the vocabulary lacks single bytes of this text")
+                return configs
+            known = self.number[configs] = len(self.packed)
+            self.packed.append(configs)
+            self.closed.append(closed_in(configs))
+        self.moves[key] = known
+        return known
 
     def encode(self, piece: bytes) -> list[int]:
         """Token ids of one piece; a piece that is a token is that token."""
@@ -168,37 +171,119 @@ class Transducer:
         if whole is not None:
             return [whole]
         out: list[int] = []
-        state = self.start
-        for byte in piece[:-1]:
-            state, emitted = state.next.get(byte) or self.step(state, byte)
-            if emitted:
-                out += emitted
-        out += state.next.get(256 + piece[-1]) or self.end(state, piece[-1])
-        return out
-
-
-class Encoder(dict):
-    """Segments of text to their packed ids, filled on demand and emptied when full."""
+        ends: list[int] = []  # since the last emission, the token that is complete behind each byte
+        state: int | bytes = 0
+        get, closed = self.moves.get, self.closed
+        for byte in piece:
+            if state.__class__ is int:
+                following = get(state << 8 | byte)
+                if following is None:
+                    following = self.move(state, byte)
+                    get, closed = self.moves.get, self.closed
+            else:
+                following = self.step(state, byte)
+                following = self.number.get(following, following)
+            state = following
+            ends.append(closed[state] if state.__class__ is int else closed_in(state))
+            if len(ends) >= LOOKAHEAD:
+                cut = self.agreed(state, ends)
+                out += self.trace(ends, cut)
+                del ends[:cut]
+        return out + self.trace(ends, len(ends))
+
+    def trace(self, ends: list[int], at: int) -> list[int]:
+        """The tokens up to a place, read from the last one back."""
+        out = []
+        while at:
+            token = ends[at - 1]
+            out.append(token)
+            at -= len(self.tokens[token])
+        return out[::-1]
+
+    def agreed(self, state: int | bytes, ends: list[int]) -> int:
+        """How far all configurations of the last state have the same tokens."""
+        shared: set[int] | None = None
+        for c in unpack(state if state.__class__ is bytes else self.packed[state]):
+            at = len(ends) - self.depth[c & LOW]
+            places = {at}
+            while at:
+                at -= len(self.tokens[ends[at - 1]])
+                places.add(at)
+            shared = places if shared is None else shared & places
+        return max(shared)
+
+
+def pack(configs: list[int]) -> bytes:
+    return array("Q", configs).tobytes()
+
+
+def unpack(configs: bytes) -> list[int]:
+    return memoryview(configs).cast("Q").tolist()
+
+
+def closed_in(configs: bytes) -> int:
+    return (int.from_bytes(configs[-8:], sys.byteorder) >> NODE) - 1
+
+
+class Recent:
+    """Results by key, kept from a key's second use on. When full, what was not used since the last time goes."""
+
+    def __init__(self, bound: int):
+        self.bound = bound
+        self.clear()
+
+    def clear(self) -> None:
+        self.young: dict = {}
+        self.old: dict = {}
+        self.met = bytearray(MET)
+
+    def put(self, key, value) -> None:
+        # Two keys may share a mark; one is then kept from its first use.
+        mark = hash(key) % MET
+        if not self.met[mark]:
+            self.met[mark] = 1
+        else:
+            if len(self.young) >= self.bound:
+                self.old = self.young
+                self.young = {}
+                self.met = bytearray(MET)
+            self.young[key] = value
+
+
+class Encoder:
+    """Whole texts to their packed ids: by known segments, or by their pieces and the transducer."""
 
     def __init__(self, ranks: dict[bytes, int], pattern: str, segment: str | None):
         import regex
 
-        super().__init__()
         self.transducer = Transducer(ranks)
-        self.pieces = regex.compile(pattern).findall
+        self.split = regex.compile(pattern).findall
         self.segments = re.compile(segment).findall if segment else lambda text: [text]
+        self.known = Recent(SEGMENTS)
 
-    def __missing__(self, segment: str) -> bytes:
-        ids = [i for piece in self.pieces(segment) for i in self.transducer.encode(piece.encode())]
-        packed = struct.pack(f"<{len(ids)}I", *ids)
-        if len(segment) <= 64:
-            if len(self) >= SEGMENTS:
-                self.clear()
-            self[segment] = packed
-        return packed
+    def segment(self, segment: str) -> bytes:
+        ids = [i for piece in self.split(segment) for i in self.transducer.encode(piece.encode())]
+        return struct.pack(f"<{len(ids)}I", *ids)
 
     def packed(self, text: str) -> bytes:
-        return b"".join(map(self.__getitem__, self.segments(text)))
+        out, known = [], self.known
+        get = known.young.get
+        for segment in self.segments(text):
+            found = get(segment)
+            if found is None:
+                found = known.old.get(segment)
+                if found is None:
+                    found = self.segment(segment)
+                if len(segment) <= 64:
+                    known.put(segment, found)
+                    get = known.young.get
+            out.append(found)
+        return b"".join(out)
+
+    def release(self) -> None:
+        """Keep the vocabulary alone, so that a worker that waits for its next task holds little."""
+        self.known.clear()
+        self.transducer.forget()
 
 
 # --- UTF-8: byte classes and transitions, from the table of well-formed sequences in the Unicode standard
@@ -237,37 +322,57 @@ def _utf8_machine() -> list[list[int]]:
 UTF8 = _utf8_machine()
 
 
+def utf8_run(data: bytes) -> tuple[str, bytes]:
+    """Text of the bytes, each of them read by the machine, and what is left of an unfinished character at the end.
+
+    Each longest beginning of a character that goes on wrongly gives one U+FFFD, as does each byte that begins none.
+    """
+    out: list[str] = []
+    state, whole, start = ACCEPT, 0, 0  # well-formed text from `whole` to `start`, where the character being read begins
+    for at, byte in enumerate(data):
+        following = UTF8[state][byte]
+        if following == REJECT:
+            out += (data[whole:start].decode(), "\ufffd")
+            whole = start = at
+            following = UTF8[ACCEPT][byte] if state != ACCEPT else REJECT
+            if following == REJECT:
+                if state != ACCEPT:
+                    out.append("\ufffd")
+                whole, following = at + 1, ACCEPT
+        state = following
+        if state == ACCEPT:
+            start = at + 1
+    return "".join([*out, data[whole:start].decode()]), data[start:]
+
+
 class StreamDecoder:
-    """Feed bytes in any portions, get text as soon as its bytes are complete; malformed bytes give U+FFFD.
+    """Feed token ids in any portions, get text as soon as its bytes are complete; malformed bytes give U+FFFD.
 
-    A portion's last three bytes go through the state machine to see whether it ends inside a character; what is
-    complete before them is decoded at once.
+    All bytes go through the state machine. What it makes of a token that begins between two characters is
+    always the same and kept; a token that begins inside a character is read with what is held of that one.
     """
 
-    def __init__(self) -> None:
-        self.held = b""
-
-    def feed(self, portion: bytes) -> str:
-        data = self.held + portion
-        cut = len(data)
-        for back in range(1, min(3, len(data)) + 1):
-            if data[-back] >= 0xC0:  # a lead byte: is its character complete?
-                state = ACCEPT
-                for byte in data[-back:]:
-                    state = UTF8[state][byte]
-                    if state in (ACCEPT, REJECT):
-                        break
-                if state not in (ACCEPT, REJECT):
-                    cut = len(data) - back
-                break
-            if data[-back] < 0x80:
-                break
-        self.held = data[cut:]
-        return data[:cut].decode("utf-8", "replace")
+    def __init__(self, tokens: Mapping[int, bytes], known: dict[int, tuple[str, bytes]] | None = None) -> None:
+        self.tokens, self.held = tokens, b""
+        self.known = {} if known is None else known
+
+    def feed(self, ids: Iterable[int]) -> str:
+        out, held, known = [], self.held, self.known
+        for i in ids:
+            if held:
+                text, held = utf8_run(held + self.tokens[i])
+            else:
+                made = known.get(i)
+                if made is None:
+                    made = known[i] = utf8_run(self.tokens[i])
+                text, held = made
+            out.append(text)
+        self.held = held
+        return "".join(out)
 
     def finish(self) -> str:
         rest, self.held = self.held, b""
-        return rest.decode("utf-8", "replace")
+        return "\ufffd" if rest else ""
 
 
 # --- Spark
@@ -279,9 +384,6 @@ def _encoder(path: str, pattern: str, segment: str | None) -> Encoder:
     key = ("encoder", path, pattern, segment)
     if key not in _made:
         _made[key] = Encoder(read_ranks(path), pattern, segment)
-        # States are many small objects; searching them for cycles would take a sixth of the time, and forget() needs none.
-        gc.freeze()
-        gc.set_threshold(200_000, 100, 1_000)
     return _made[key]
 
 
@@ -294,22 +396,23 @@ def _with(df: DataFrame, column: str, function, made: dict[str, T.DataType], rep
     kinds = [pa.binary() if isinstance(kind, T.BinaryType) else pa.string() for kind in made.values()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
-        one = function()
+        one, release = function()
         for whole in batches:
             for start in range(0, whole.num_rows, SLICE):
                 batch = whole.slice(start, SLICE)
                 values = [one(v.as_py()) for v in batch.column(at)]
                 columns = [pa.array([v[k] for v in values], kind) for k, kind in enumerate(kinds)]
                 yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in kept), *columns], names=[*(f.name for f in fields), *names])
+        release()
 
     return df.mapInArrow(run, T.StructType([*fields, *(T.StructField(n, k) for n, k in zip(names, made.values()))]))
 
 
-def _decoded(packed: bytes, tokens: dict[int, bytes]) -> str:
+def _decoded(packed: bytes, tokens: Mapping[int, bytes], known: dict[int, tuple[str, bytes]]) -> str:
     found = memoryview(packed).cast("I")
-    stream, out = StreamDecoder(), []
+    stream, out = StreamDecoder(tokens, known), []
     for at in range(0, len(found), DECODE_CHUNK):
-        out.append(stream.feed(b"".join(map(tokens.__getitem__, found[at : at + DECODE_CHUNK]))))
+        out.append(stream.feed(found[at : at + DECODE_CHUNK]))
     out.append(stream.finish())
     return "".join(out)
 
@@ -325,13 +428,13 @@ def encode(
 
     def worker():
         encoder = _encoder(ranks_path, pattern, segment)
-        tokens = encoder.transducer.tokens
+        tokens, known = encoder.transducer.tokens, {}
 
         def one(value: str | None) -> tuple:
             packed = encoder.packed(value) if value else b""
-            return (packed,) if decoded is None else (packed, _decoded(packed, tokens))
+            return (packed,) if decoded is None else (packed, _decoded(packed, tokens, known))
 
-        return one
+        return one, encoder.release
 
     made = {to: T.BinaryType()} | ({} if decoded is None else {decoded: T.StringType()})
     return _with(df, text, worker, made, replace)
@@ -343,8 +446,8 @@ def decode(df: DataFrame, ids: str, ranks_path: str, to: str = "decoded", replac
     def worker():
         if ("tokens", ranks_path) not in _made:
             _made["tokens", ranks_path] = {i: t for t, i in read_ranks(ranks_path).items()}
-        tokens = _made["tokens", ranks_path]
-        return lambda packed: (_decoded(packed or b"", tokens),)
+        tokens, known = _made["tokens", ranks_path], {}
+        return lambda packed: (_decoded(packed or b"", tokens, known),), known.clear
 
     return _with(df, ids, worker, {to: T.StringType()}, replace)
 
