@@ -1,5 +1,7 @@
 import html as std
+import random
 import re
+from html.parser import HTMLParser
 
 import pyarrow.parquet as pq
 
@@ -73,3 +75,105 @@ def test_all_classes_tell_boxes_apart():
     page = '<body><div class="a b c d z1"><p>wanted text</p></div><div class="a b c d y"><p>other text, and longer</p></div></body>'
     wanted = next(path for path, *_ in html.blocks(page)[1] if "z#" in path)
     assert html.extract(page, wanted) == "wanted text"
+
+
+CASES = [
+    ('<p>one <svg class="i"/> two</p><p>three</p>', "one two\nthree"),
+    ('<p>a <svg><path d="x"/><title>t</title></svg>b</p><p>c</p>', "a b\nc"),
+    ("<svg><p>after</p>", "after"),
+    ("<noscript><p>x</p><p>after</p>", "x\nafter"),
+    ("<object data=x>a<p>after</p>", "a\nafter"),
+    ('<div class="site has-sidebar">article</div>', "article"),
+    ('<div class="post tag-news">article</div>', "article"),
+    ('<div class="hentry post comments-open">article</div>', "article"),
+    ("<p title=it's>lost</p><p>more don't</p><p>end</p>", "lost\nmore don't\nend"),
+    ("<article><p>Use <label>this</label> word</p></article>", "Use this word"),
+    ('<article><p>A <span class="ad">buy</span>b</p></article>', "A b"),
+    ('<form id=whole><div class="menu"><a>m</a></div><div class="text"><p>Long text of the page here</p></div><input><button>b</button></form>', "Long text of the page here"),
+    ('<div class="sidebar-left"><article><p>x y</p></article></div>', "x y"),
+    ('<div class="post"><p>short</p></div><div id=comments><article class="comment"><p>' + "nice " * 50 + "</p></article></div>", "short"),
+    ("<div class=cookie-notice>c</div><div class=comments><p>r</p></div>", ""),
+    ("<p>a<!-->b--></p>", "ab-->"),
+    ("<p>1 </> 2</p>", "1 2"),
+    ("<div hidden>x</div><p>y</p>", "y"),
+    ('<div class="widget"><p>all</p></div>', "all"),
+    ("<p>a</p><iframe src=x></iframe ><p>b</p>", "a\nb"),
+    ('<body class="right-sidebar"><div id="content"><p>t</p></div><div id="sidebar"><p>' + "s " * 100 + "</p></div></body>", "t"),
+    ("<nav><a>m</a></nav><div class=post><h1>Head</h1><div class=body><p>" + "long " * 99 + "</p></div></div><div class=more><p>other</p></div>", "Head\n" + ("long " * 99).strip()),
+    ("<article>" + "<div>" * 600 + "<p>deep text</p>" + "</div>" * 600 + "<p>after</p></article>", "deep text\nafter"),
+]
+
+
+def test_markup_that_loses_no_text():
+    for page, expected in CASES:
+        assert html.extract(page, None) == expected, page[:90]
+
+
+STYLES = [
+    '<body><nav><a href=/>Home</a></nav><article>{}</article><aside><p>more here</p></aside></body>',
+    '<body class="single no-js"><div id="page" class="site has-sidebar"><div id="primary" class="content-area"><main id="main">{}</main></div><div id="secondary" class="widget-area sidebar"><p>links to read</p></div></div></body>',
+    '<form method=post><div id="wrapper"><div id="header"><h2>Site</h2></div><div id="mainContent">{}</div><div id="footer">legal words</div></div></form>',
+    '<table width=100%><tr><td class="nav"><a href=a>one</a><a href=b>two</a><td class=text>{}<tr><td colspan=2 class="footer">small print</table>',
+    '<div class="l-grid"><div class="l-col l-col--8"><div class="c-article">{}</div></div><div class="l-col"><div class="ad-slot">BUY</div></div></div>',
+    '<div class="hentry post type-post tag-news comments-open category-x">{}<div class="sharedaddy share-buttons"><a>tweet</a></div></div><div id="comments" class="comments-area"><ol><li><article class="comment"><p>a reader says it is very good</p></article></ol></div>',
+    '<div data-x=\'{{"a":"<b>"}}\' title="a > b"><section>{}</section></div><script>if (a<b) x = "</div>" + \'</p>\'</script><div role=contentinfo>imprint</div>',
+    "<div id=cookieBanner>We use cookies on this site</div><center><font>{}</font></center>",
+    '<svg><defs/><title>logo</title></svg><div class="story">{}<svg class=icon/></div><noscript><img src=x></noscript>',
+    '<div class="post-content"><template><p>not shown</p></template>{}<div style="display: none">hidden words</div></div><div class="related-posts"><a>other</a></div>',
+]
+
+
+def test_styles_of_markup_against_what_was_written():
+    paragraphs = ["The first words of it, and some more of them for length", "Then it&#39;s a <b>second</b>, with <a href='/x'>one link</a> inside", "A third &lt;one&gt; that ends the whole"]
+    plain = ["The first words of it, and some more of them for length", "Then it's a second, with one link inside", "A third <one> that ends the whole"]
+    inner = "\n".join(f"<p>{p}</p>" for p in paragraphs)
+    for style in STYLES:
+        assert html.extract(style.format(inner), None) == "\n".join(plain), style
+        assert html.extract(style.format(inner.replace("</p>", "")), None) == "\n".join(plain), style
+
+
+class Tree(HTMLParser):
+    """A plain reader of well-formed pages: blocks of text below an element of the class `story`."""
+
+    def __init__(self, page):
+        super().__init__()
+        self.depth, self.inside, self.parts = 0, None, [""]
+        self.feed(page)
+        self.text = "\n".join(t for t in (" ".join(p.split()) for p in self.parts) if t)
+
+    def handle_starttag(self, tag, attrs):
+        self.depth += 1
+        if self.inside is None and dict(attrs).get("class") == "story":
+            self.inside = self.depth
+        if tag in ("div", "p", "ul", "li", "blockquote", "h2"):
+            self.parts.append("")
+
+    def handle_endtag(self, tag):
+        if self.inside == self.depth:
+            self.inside = None
+        self.depth -= 1
+        if tag in ("div", "p", "ul", "li", "blockquote", "h2"):
+            self.parts.append("")
+
+    def handle_data(self, data):
+        if self.inside is not None:
+            self.parts[-1] += data
+
+
+def test_random_pages_against_a_tree_reader():
+    rng = random.Random(3)
+
+    def words():
+        return "".join(rng.choice(["word ", "it&amp;s ", "<b>bold</b> ", "<i>x</i>", "\n tab\t ", "&eacute; "]) for _ in range(rng.randint(3, 9)))
+
+    def block(depth):
+        tag = rng.choice(["p", "p", "div", "ul", "blockquote", "h2"])
+        if tag == "ul":
+            return "<ul>" + "".join(f"<li>{words()}</li>" for _ in range(rng.randint(1, 4))) + "</ul>"
+        if tag in ("div", "blockquote") and depth < 4:
+            return f"<{tag}>" + "".join(block(depth + 1) for _ in range(rng.randint(1, 3))) + f"{words() if rng.random() < 0.4 else ''}</{tag}>"
+        return f"<p>{words()}</p>"
+
+    for _ in range(200):
+        page = f'<div class="top"><nav><a href="/">go</a></nav></div><div class="story">{"".join(block(0) for _ in range(rng.randint(2, 6)))}</div><footer>end</footer>'
+        assert html.extract(page, ">div.story") == Tree(page).text

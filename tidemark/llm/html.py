@@ -6,7 +6,8 @@ scores of a path are added over all pages of a host, and every page is read agai
 won there. A page without that path uses its own best container.
 
 A block's white space becomes single spaces; blocks are joined in page order by a line feed. Menus, headers,
-footers, sidebars, notices, adverts, forms, scripts, styles and comments of readers are left out. Null, empty and
+footers, sidebars, notices, adverts, forms, scripts, styles and comments of readers are left out: by their tags, or by
+whole names and first or last words of their classes, unless what is so named wraps the article. Null, empty and
 unreadable pages give an empty text; pages with a null url vote as one host. Repeated pages are read each; extra
 columns pass through; empty tables give empty ones. Unclosed elements end where HTML's rules end them, and pages
 that break off give what they hold.
@@ -33,19 +34,40 @@ SALTS = 32
 SLICE = 256
 PATH = 256
 """Characters up to which a path is kept as it is."""
-TAG = re.compile(r"<(?:!--.*?(?:-->|$)|(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*(?:\"|$)|'[^']*(?:'|$))*)(?:>|$)|[!?][^>]*(?:>|$))", re.S)
-ATTRIBUTE = re.compile(r"([a-zA-Z_:][-a-zA-Z0-9_:.]*)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
-RAW = {"script", "style", "noscript", "template", "textarea", "svg", "math", "iframe", "object", "title", "xmp", "noembed", "noframes"}
+# Tags by HTML's states for attributes: a quotation mark opens a quoted value only right after the equals sign.
+TAG = re.compile(
+    r"<(?:!--(?:-?>|.*?(?:--!?>|$))"
+    r"|(/?)([a-zA-Z][^\s/>]*+)((?:[\s/]++|[^\s/>=][^\s/>=]*+(?:\s*+=\s*+(?:\"[^\"]*+(?:\"|$)|'[^']*+(?:'|$)|[^\s>\"'][^\s>]*+)?+)?+|=[^\s/>=]*+)*+)(?:>|$)"
+    r"|/(?:[^a-zA-Z>][^>]*+)?(?:>|$)|[!?][^>]*+(?:>|$))",
+    re.S,
+)
+ATTRIBUTE = re.compile(r"([^\s/>=\"'][^\s/>=]*+)(?:\s*+=\s*+(?:\"([^\"]*+)(?:\"|$)|'([^']*+)(?:'|$)|([^\s>\"'][^\s>]*+)))?+")
+RAW = {"script", "style", "textarea", "iframe", "title", "xmp", "noembed", "noframes"}
+"""Elements whose content is no markup up to their own end tag."""
+RAW_END = {tag: re.compile(rf"</{tag}(?=[\s/>])[^>]*>", re.I) for tag in RAW}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 BOXES = {"article", "main", "section", "div", "td", "body", "center", "table", "tbody", "tr", "th"}
 BLOCKS = BOXES | {"p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "ul", "ol", "dl", "dt", "dd", "blockquote", "pre", "figure", "figcaption", "header", "footer", "nav", "aside", "form", "hr", "address", "details", "summary", "fieldset", "caption", "html", "head"}
-AWAY = {"nav", "header", "footer", "aside", "form", "button", "select", "dialog", "menu", "head", "fieldset", "label", "option", "input"}
-AWAY_NAMES = re.compile(
-    r"(?:^|[-_\s])(?:ads?|advert\w*|banner|promo\w*|sponsor\w*|comments?|disqus|replies|respond|cookies?|consent|gdpr|notice|popup|modal|overlay|newsletter|subscribe|signup|login|"
-    r"menu|nav|navbar|navigation|breadcrumbs?|sidebar|side|widget|related|recommend\w*|share|sharing|social|footer|foot|header|masthead|topbar|toolbar|pagination|pager|tags?|legal|copyright|search|form|skip)(?:$|[-_\s\d])",
-    re.I,
-)
+WEAK, STRONG, NEVER, HARD = 1, 2, 3, 4
+"""What an element is taken for: by a name that may be wrong, by a sure one, as what no article holds, by its tag."""
+AWAY = {"nav": HARD, "header": HARD, "footer": HARD, "aside": HARD, "button": HARD, "select": HARD, "dialog": HARD, "menu": HARD, "head": HARD, "option": HARD, "template": HARD, "svg": HARD, "math": HARD, "form": WEAK, "fieldset": WEAK}
+FOREIGN = ("svg", "math")
+BREAKOUT = BLOCKS | {"b", "br", "code", "em", "i", "img", "span", "strong", "u", "small", "sub", "sup", "tt", "var", "s"}
+"""HTML elements that end a foreign one."""
+NAMES = {
+    **dict.fromkeys("banner promo promos promotion sponsor sponsored notice popup modal overlay newsletter subscribe subscription signup login side widget widgets share sharing social foot toolbar tag tags legal search form skip".split(), WEAK),
+    **dict.fromkeys("menu nav navbar navigation breadcrumb breadcrumbs sidebar related recommended recommendations footer header masthead topbar pagination pager copyright".split(), STRONG),
+    **dict.fromkeys("ad ads advert adverts advertisement advertising advertorial comment comments disqus replies respond cookie cookies consent gdpr".split(), NEVER),
+}
+"""By the whole name of a class or id, or its last word."""
+FIRST = {n: NAMES[n] for n in "ad ads advert adverts advertisement comment comments disqus cookie cookies consent gdpr nav navbar navigation breadcrumb breadcrumbs sidebar menu footer related recommended newsletter promo sponsor sponsored share sharing social popup modal widget".split()}
+"""By the first word of a name of several."""
+TOLD_OF = {"has", "with", "without", "no", "not", "have", "show", "shows", "hide", "hides", "is", "js", "open", "opened", "closed", "enabled", "disabled", "allowed", "active", "on", "off", "free", "none"}
+"""Names that begin or end so tell of something elsewhere, as has-sidebar and comments-open do."""
+WORDS = re.compile(r"[^\W\d_]+")
+CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 AWAY_ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "dialog", "alert", "menu"}
+HIDDEN = re.compile(r"display:\s*none|visibility:\s*hidden", re.I)
 CLOSED_BY = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 P_CLOSERS = BLOCKS - {"html", "head", "body"}
 GOOD_NAMES = re.compile(r"article|content|entry|post|story|main|text|body", re.I)
@@ -53,10 +75,20 @@ ROW_PARENTS = {"table", "tbody", "ul", "ol", "dl"}
 
 
 class Element:
-    __slots__ = ("tag", "path", "away", "box", "parent")
+    __slots__ = ("tag", "path", "zone", "box", "parent")
+
+    def __init__(self, tag: str, path: str, zone: int, box: int, parent: Element | None):
+        self.tag, self.path, self.zone, self.box, self.parent = tag, path, zone, box, parent
 
-    def __init__(self, tag: str, path: str, away: bool, box: int, parent: Element | None):
-        self.tag, self.path, self.away, self.box, self.parent = tag, path, away, box, parent
+
+def _named(names: str) -> int:
+    """What classes and an id tell an element to be: the surest of them, 0 if nothing."""
+    found = 0
+    for name in names.split():
+        words = [w.lower() for w in WORDS.findall(CAMEL.sub(" ", name))]
+        if words and not (len(words) > 1 and (words[0] in TOLD_OF or words[-1] in TOLD_OF)):
+            found = max(found, NAMES.get("".join(words), 0), NAMES.get(words[-1], 0), FIRST.get(words[0], 0))
+    return found
 
 
 def _label(tag: str, attributes: dict[str, str]) -> str:
@@ -71,41 +103,34 @@ def _path(above: str, label: str) -> str:
     return f"{above}>{label}"
 
 
-def blocks(page: str) -> tuple[list[tuple[str, int]], list[tuple[str, int, str, int, int, int]]]:
+def blocks(page: str) -> tuple[list[tuple[str, int]], list[tuple[str, int, str, int, int, int, bool]]]:
     """The blocks of text outside of boilerplate, each with its box; and the boxes: (path, parent box, tag, ...).
 
-    The numbers of a box are the characters of its own blocks, those inside links, and how many blocks it has.
+    The numbers of a box are the characters of its own blocks, those inside links, and how many blocks it has; then
+    whether an h1 is among them.
+    Elements taken for boilerplate are zones; only when the page is read is it decided which of them are dropped.
     """
-    found: list[tuple[str, int]] = []
-    boxes: list[list] = [["", -1, "", 0, 0, 0]]
-    stack = [Element("", "", False, 0, None)]
+    raw: list[tuple[list[tuple[int, str, bool]], int]] = []  # blocks: pieces (zone, text, in a link), and the box
+    boxes: list[list] = [["", -1, "", 0, 0, 0, False]]
+    zones: list[list] = [[0, 0, False, False]]  # parent, kind, whether it holds an article or main element, or an h1
+    stack = [Element("", "", 0, 0, None)]
     # Places in the stack, so that no tag has to search through it: those of each tag, and of all blocks.
     places: dict[str, list[int]] = defaultdict(list)
     block_places = [0]
-    held: list[str] = []
-    links = linked = 0
+    held: list[tuple[int, str, bool]] = []
+    links = 0
     at = 0
 
     def text(piece: str) -> None:
-        nonlocal linked
-        if piece and not stack[-1].away:
-            piece = html.unescape(piece)
-            held.append(piece)
-            if links:
-                linked += len(piece.strip())
+        zone = stack[-1].zone
+        if piece and zones[zone][1] != HARD:
+            held.append((zone, html.unescape(piece), links > 0))
 
     def flush() -> None:
-        nonlocal held, linked
+        nonlocal held
         if held:
-            block = " ".join("".join(held).split())
-            if block:
-                box = stack[-1].box
-                found.append((block, box))
-                boxes[box][3] += len(block)
-                boxes[box][4] += linked
-                boxes[box][5] += 1
+            raw.append((held, stack[-1].box))
             held = []
-        linked = 0
 
     def close(to: int) -> None:
         nonlocal links
@@ -133,15 +158,21 @@ def blocks(page: str) -> tuple[list[tuple[str, int]], list[tuple[str, int, str,
             if k and (tag in BLOCKS or k > block_places[-1]):  # an inline end tag does not reach beyond its block
                 close(k)
             continue
+        foreign = last(FOREIGN)
+        if foreign and tag in BREAKOUT and foreign > last(("foreignobject",)):
+            close(foreign)
+            foreign = 0
+        empty = m[3].endswith("/") and (foreign or tag in FOREIGN)
         if tag == "br":
             text(" ")
             continue
         if tag in RAW:
             # A raw element runs to its own end tag, whatever its content looks like.
-            end = re.compile(rf"</{tag}\s*>", re.I).search(page, at)
-            at = end.end() if end else len(page)
-            if end is None:
-                break
+            if not empty:
+                end = RAW_END[tag].search(page, at)
+                at = end.end() if end else len(page)
+            continue
+        if empty:
             continue
         if tag in VOID:
             if tag == "hr":
@@ -159,40 +190,98 @@ def blocks(page: str) -> tuple[list[tuple[str, int]], list[tuple[str, int, str,
             close(len(stack) - 1)
         up = stack[-1]
         attributes = {n.lower(): a or b or c for n, a, b, c in ATTRIBUTE.findall(m[3])} if m[3] else {}
-        path, box = up.path, up.box
+        path, box, zone = up.path, up.box, up.zone
         if tag in BOXES:
             path = _path(up.path, _label(tag, attributes))
-            boxes.append([path, up.box, tag, 0, 0, 0])
+            boxes.append([path, up.box, tag, 0, 0, 0, False])
             box = len(boxes) - 1
-        named = f"{attributes.get('class', '')} {attributes.get('id', '')}"
-        away = up.away or tag in AWAY or "hidden" in m[3] and re.search(r"(?:^|\s)hidden(?:\s|=|$)|display:\s*none", m[3]) is not None
-        if not away and attributes and tag not in ("html", "body", "article", "main"):
-            away = AWAY_NAMES.search(named) is not None or attributes.get("role", "").lower() in AWAY_ROLES or re.search(r"display:\s*none|visibility:\s*hidden", attributes.get("style", "")) is not None
-        if away and not up.away:
-            flush()
+        if zones[zone][1] != HARD:
+            kind = AWAY.get(tag, 0)
+            if attributes and kind != HARD:
+                if "hidden" in attributes or HIDDEN.search(attributes.get("style", "")):
+                    kind = HARD
+                elif tag not in ("html", "body", "main"):
+                    kind = max(kind, _named(f"{attributes.get('class', '')} {attributes.get('id', '')}"), STRONG if attributes.get("role", "").lower() in AWAY_ROLES else 0)
+            if kind:
+                zones.append([zone, kind, False, False])
+                zone = len(zones) - 1
+            elif tag in ("article", "main"):
+                zones[zone][2] = True
+            elif tag == "h1":
+                zones[zone][3] = boxes[box][6] = True
         places[tag].append(len(stack))
         if tag in BLOCKS:
             block_places.append(len(stack))
-        stack.append(Element(tag, path, away, box, up))
+        stack.append(Element(tag, path, zone, box, up))
         links += tag == "a"
     if at < len(page):
         text(page[at:])
     close(1)
     flush()
+    found: list[tuple[str, int]] = []
+    for dropped in _dropped(zones, raw):
+        for pieces, box in raw:
+            block = " ".join("".join(piece for zone, piece, _ in pieces if not dropped[zone]).split())
+            if block:
+                found.append((block, box))
+                boxes[box][3] += len(block)
+                boxes[box][4] += sum(len(piece.strip()) for zone, piece, link in pieces if link and not dropped[zone])
+                boxes[box][5] += 1
+        if found:
+            break
     return found, [tuple(b) for b in boxes]
 
 
+def _dropped(zones: list[list], raw: list) -> Iterator[list[bool]]:
+    """Which zones are boilerplate; further choices, ever fewer zones, count only if the ones before leave no text.
+
+    A zone around an article or main element is a wrapper with a misleading name, and so is one with a weak name or a
+    main heading that holds most of the page's text. What remains of a page without any other text are zones with
+    weak names, and then those with strong ones that are not mostly links.
+    """
+    if len(zones) == 1:
+        yield [False]
+        return
+    size, linked = [0] * len(zones), [0] * len(zones)
+    for pieces, _ in raw:
+        for zone, piece, link in pieces:
+            n = len(piece.strip())
+            size[zone] += n
+            linked[zone] += n * link
+    for zone in range(len(zones) - 1, 0, -1):
+        size[zones[zone][0]] += size[zone]
+        linked[zones[zone][0]] += linked[zone]
+    for rescued in range(3):
+        dropped = [False] * len(zones)
+        for zone in range(1, len(zones)):
+            parent, kind, article, heading = zones[zone]
+            keep = kind != HARD and (
+                article
+                or 2 * size[zone] > size[0] and kind < NEVER and (kind == WEAK or heading)
+                or rescued > 0 and kind == WEAK
+                or rescued > 1 and kind == STRONG and 2 * linked[zone] < size[zone]
+            )
+            dropped[zone] = dropped[parent] or not keep
+        yield dropped
+
+
 def scores(boxes: list[tuple]) -> list[float]:
-    """Each box's score: its own text without links, and less of that of boxes inside, the farther the less.
+    """Each box's score: its own text without links, and nine tenths of that of boxes inside.
 
-    A box that adds own blocks around an inner one wins over that inner one; a mere wrapper does not.
+    A box that adds own blocks around an inner one wins over that inner one if they are long, or hold the main heading;
+    a mere wrapper does not, nor does it make the inner one count for less farther out.
     """
-    own = [max(0.0, size - 2.0 * linked) * (1.0 + 0.1 * min(count, 20)) for _, _, _, size, linked, count in boxes]
-    total = own[:]
-    for i in range(len(boxes) - 1, 0, -1):
-        parent = boxes[i][1]
-        if parent >= 0:
-            total[parent] += 0.9 * total[i]
+    mass = [max(0.0, size - 2.0 * linked) * (1.0 + 0.1 * min(count, 20)) for _, _, _, size, linked, count, _ in boxes]
+    inner, parts = [0.0] * len(boxes), [0] * len(boxes)
+    total = mass[:]
+    for i in range(len(boxes) - 1, -1, -1):
+        _, parent, _, _, _, count, heading = boxes[i]
+        wrapper = not count and parts[i] == 1
+        total[i] = mass[i] + (1.0 if heading and count else 0.9) * inner[i]
+        mass[i] = inner[i] if wrapper else total[i]
+        if parent >= 0 and mass[i] > 0:
+            inner[parent] += mass[i]
+            parts[parent] += 1
     for i, (path, _, tag, *_) in enumerate(boxes):
         if tag in ("article", "main"):
             total[i] *= 1.5
