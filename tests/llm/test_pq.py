@@ -1,4 +1,5 @@
 import numpy as np
+import pyarrow as pa
 import pyarrow.parquet as pq_file
 import pytest
 
@@ -44,9 +45,37 @@ def test_lists_in_parts(spark, monkeypatch):
     assert got == expected
 
 
+def planted(pairs, alone, size, seed):
+    """Vectors in pairs at a cosine from 0.9 to 0.95, and others, none of which is near to any."""
+    rng = np.random.default_rng(seed)
+    one = rng.normal(size=(pairs, size))
+    one /= np.linalg.norm(one, axis=1)[:, None]
+    aside = rng.normal(size=one.shape)
+    aside -= (aside * one).sum(1)[:, None] * one
+    aside /= np.linalg.norm(aside, axis=1)[:, None]
+    cosine = rng.uniform(0.9001, 0.95, pairs)[:, None]
+    return np.concatenate([one, cosine * one + np.sqrt(1 - cosine**2) * aside, rng.normal(size=(alone, size))])
+
+
+def test_planted_pairs_over_a_hundred_lists(spark):
+    """Production parameters, 60,000 vectors of 64 components in 118 lists: nearly all planted links, and the same under another partitioning."""
+    vectors = planted(8_000, 44_000, 64, 11)
+    columns = pa.table({"vec_id": pa.array(range(len(vectors)), pa.int64()), "embedding": pa.array(vectors.tolist(), pa.list_(pa.float64()))})
+    results = []
+    for parts in (3, 11):
+        df = spark.createDataFrame(columns).repartition(parts)
+        spark.conf.set("spark.sql.shuffle.partitions", str(parts))
+        results.append({r.id: (r.n_links, r.component) for r in pq.near_duplicates(df).collect()})
+    spark.conf.set("spark.sql.shuffle.partitions", "4")
+    found = sum(results[0][i][0] for i in range(16_000))
+    assert results[0] == results[1]
+    assert 0.98 * 16_000 <= found <= 16_000 and not any(results[0][i][0] for i in range(16_000, 60_000))
+    assert sum(results[0][i + 8_000][1] == i for i in range(8_000)) == found // 2
+
+
 def test_recall_with_many_lists(spark, monkeypatch):
     """Far more lists than PROBES, with near copies spread over several of them; probes as they are by default."""
-    monkeypatch.setattr(pq, "LIST_SIZE", 2)
+    monkeypatch.setattr(pq, "LIST_SIZE", 4)
     rng = np.random.default_rng(3)
     groups = rng.normal(size=(60, 32))
     vectors = np.concatenate([np.repeat(groups, 80, axis=0) + rng.normal(size=(4800, 32)) * 0.2, rng.normal(size=(1200, 32))])
