@@ -1,4 +1,4 @@
-"""Connected components of an undirected graph of long ids, by alternating star contraction.
+"""Connected components of an undirected graph of ids or other ordered nodes, by alternating star contraction.
 
 Each round joins the edges with the smallest neighbour of each node (pre-aggregated before its shuffle), so a
 node with very many edges is split by Spark's handling of skewed joins; no group is gathered in one task.

@@ -8,7 +8,7 @@ a machine word, and differing bits are counted for a whole word at once by carry
 block as soon as all of its lanes are over the radius. A block returns no more links than hold its groups together.
 
 Null and empty texts, and those without words, have fingerprint zero, which links like any other. Repeated rows
-are copies of each other; extra columns pass through; an empty table gives an empty one.
+are copies of each other; further columns are not returned; an empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -34,6 +34,7 @@ SHARED = 512
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 SEPARATED = re.compile(rb"[^\x20\x09-\x0D]+")
 ALL = np.uint64(0xFFFFFFFFFFFFFFFF)
+NO_ID = (1 << 63) - 1
 
 
 def fingerprint(text: str | None, words: int = WORDS) -> int:
@@ -143,54 +144,58 @@ def spanning(left: np.ndarray, right: np.ndarray) -> list[int]:
 
 
 def _meetings(batches: Iterator[pa.RecordBatch]) -> Iterable[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(key, fingerprints, whether of the second part) of each meeting, from rows sorted by meeting."""
+    """(key, (fingerprint, smallest id) rows, whether of the second part) of each meeting, from rows sorted by meeting."""
     held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
 
     def drain(last: bool) -> Iterable[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        keys, ids, second = (np.concatenate(x) for x in zip(*held))
+        keys, nodes, second = (np.concatenate(x) for x in zip(*held))
         changes = np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1
         bounds = [0, *changes.tolist(), *([len(keys)] if last else [])]
         for a, b in zip(bounds, bounds[1:]):
-            yield keys[a], ids[a:b], second[a:b]
-        held[:] = [(keys[bounds[-1] :], ids[bounds[-1] :], second[bounds[-1] :])]
+            yield keys[a], nodes[a:b], second[a:b]
+        held[:] = [(keys[bounds[-1] :], nodes[bounds[-1] :], second[bounds[-1] :])]
 
     for batch in batches:
         if batch.num_rows:
             keys = np.stack([batch.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in range(4)], axis=1)
-            held.append((keys, batch.column(5).to_numpy().view(np.uint64), batch.column(4).to_numpy(zero_copy_only=False)))
+            nodes = np.stack([batch.column(k).to_numpy() for k in (5, 6)], axis=1)
+            held.append((keys, nodes, batch.column(4).to_numpy(zero_copy_only=False)))
             yield from drain(False)
     if held:
         yield from drain(True)
 
 
 def links(distinct: DataFrame, rows: int, radius: int = RADIUS) -> DataFrame:
-    """Links (a, b) that hold together all groups of distinct fingerprints (column `fp`) within the radius."""
+    """Links (a, b) that hold together all groups of distinct fingerprints within the radius.
+
+    A fingerprint comes with its smallest id (columns `fp`, `least`), and a link's ends are both, as structs.
+    """
     masks = _masks(bands_for(rows, radius), radius)
-    keyed = distinct.select("fp", F.posexplode(F.array(*(F.col("fp").bitwiseAND(F.lit(m - (1 << 64) if m >> 63 else m)) for m in masks))).alias("band", "key"))
+    keyed = distinct.select("fp", "least", F.posexplode(F.array(*(F.col("fp").bitwiseAND(F.lit(m - (1 << 64) if m >> 63 else m)) for m in masks))).alias("band", "key"))
     sizes = keyed.groupBy("band", "key").agg(F.count("*").alias("n")).filter("n > 1")
     # Buckets over the bound are dealt out in parts, and every two parts meet in a task of their own.
     parts = F.ceil(F.col("n") / BLOCK).cast("int")
     placed = keyed.join(sizes, ["band", "key"]).withColumn("parts", parts).withColumn("part", F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int"))
-    meeting = placed.select("band", "key", "fp", "part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other")).select(
-        "band", "key", F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high"), (F.col("part") > F.col("other")).alias("second"), "fp"
+    meeting = placed.select("band", "key", "fp", "least", "part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other")).select(
+        "band", "key", F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high"), (F.col("part") > F.col("other")).alias("second"), "fp", "least"
     )
     # Rows are sorted by meeting. Small whole buckets share a block: a link across them is a link all the same.
     dealt = meeting.repartition("band", "key", "low", "high").sortWithinPartitions("band", "key", "low", "high", "second")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
         def answer(asked: np.ndarray, block: np.ndarray) -> pa.RecordBatch:
-            q, b = close(asked, block, radius)
-            left, right = asked[q].view(np.int64), block[b].view(np.int64)
-            kept = spanning(left, right)
-            return pa.RecordBatch.from_arrays([pa.array(left[kept]), pa.array(right[kept])], names=["a", "b"])
+            q, b = close(asked[:, 0].copy().view(np.uint64), block[:, 0].copy().view(np.uint64), radius)
+            kept = spanning(asked[q, 0], block[b, 0])
+            left, right = asked[q[kept]], block[b[kept]]
+            return pa.RecordBatch.from_arrays([pa.array(c) for c in (left[:, 0], left[:, 1], right[:, 0], right[:, 1])], names=["fp", "least", "other_fp", "other_least"])
 
         gathered: list[np.ndarray] = []
-        for keys, ids, second in _meetings(batches):
+        for keys, nodes, second in _meetings(batches):
             if keys[2] != keys[3]:
                 if second.any() and not second.all():
-                    yield answer(ids[second], ids[~second])
+                    yield answer(nodes[second], nodes[~second])
             else:
-                gathered.append(ids)
+                gathered.append(nodes)
                 if sum(map(len, gathered)) >= SHARED:
                     block = np.concatenate(gathered)
                     yield answer(block, block)
@@ -199,20 +204,21 @@ def links(distinct: DataFrame, rows: int, radius: int = RADIUS) -> DataFrame:
             block = np.concatenate(gathered)
             yield answer(block, block)
 
-    return dealt.mapInArrow(compare, "a long, b long")
+    found = dealt.mapInArrow(compare, "fp long, least long, other_fp long, other_least long")
+    return found.select(F.struct("least", "fp").alias("a"), F.struct(F.col("other_least").alias("least"), F.col("other_fp").alias("fp")).alias("b"))
 
 
 def groups(df: DataFrame, id_column: str, fp: str, radius: int = RADIUS) -> DataFrame:
     """(id, fingerprint, component) of every row with a fingerprint column, component being the smallest id reachable.
 
-    Equal fingerprints are one node of the graph, so large groups of copies cost no links.
+    Ids are whole numbers; null ones name a component only if it has no other. Equal fingerprints are one node of the
+    graph, named by its smallest id, so large groups of copies cost no links and the smallest node names the component.
     """
-    rows = checkpointed(df.select(F.col(id_column).alias("id"), F.col(fp).alias("fp")))
-    nodes = checkpointed(rows.groupBy("fp").agg(F.min("id").alias("least")))
-    reached = components(links(nodes.select("fp"), nodes.count(), radius))
-    labelled = nodes.join(reached, nodes["fp"] == reached["node"], "left").select("fp", "least", F.coalesce("component", "fp").alias("root"))
-    smallest = labelled.groupBy("root").agg(F.min("least").alias("component"))
-    return rows.join(labelled.join(smallest, "root").select("fp", "component"), "fp").select("id", "fp", "component")
+    rows = checkpointed(df.select(F.col(id_column).cast("long").alias("id"), F.col(fp).alias("fp")))
+    nodes = checkpointed(rows.groupBy("fp").agg(F.min(F.coalesce("id", F.lit(NO_ID))).alias("least")))
+    reached = components(links(nodes, nodes.count(), radius)).select("node.fp", F.col("component.least").alias("found"))
+    labelled = nodes.join(reached, "fp", "left").select("fp", F.nullif(F.coalesce("found", "least"), F.lit(NO_ID)).alias("component"))
+    return rows.join(labelled, "fp").select("id", "fp", "component")
 
 
 def near_duplicates(df: DataFrame, id_column: str = "doc_id", text: str = "text", words: int = WORDS, radius: int = RADIUS) -> DataFrame:
