@@ -47,7 +47,8 @@ def allocate(leaves: DataFrame, levels: int, weights: Sequence[Mapping[str, int]
     own rate, the weights from it on fit the parent's share.
     """
     names = [f"l{i}" for i in range(levels)]
-    now = leaves.select(*names, "tokens", (F.col("tokens") * epochs).alias("room")).withColumn("share", F.least(budget, F.sum("room").over(Window.partitionBy(F.lit(0)))))
+    now = leaves.select(*names, "tokens", (F.col("tokens") * epochs).alias("room"))
+    now = now.crossJoin(F.broadcast(now.agg(F.least(budget, F.sum("room")).alias("share"))))
     for depth in range(levels):
         parent, key = names[:depth], names[: depth + 1]
         nodes = now.groupBy(*key).agg(F.sum("room").alias("node_room"), F.first("share").alias("family_share")).withColumn("weight", _weight(F.col(names[depth]), weights[depth], default))

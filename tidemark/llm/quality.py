@@ -3,8 +3,8 @@
 Two zstandard dictionaries are built from labelled good and bad texts. A text is cut into blocks, and each block is
 packed with either dictionary; the difference of the sizes over their sum is the text's raw score. Logistic
 regression turns it into a probability, together with how far the text packs at all: text that repeats itself packs
-to almost nothing with both dictionaries, and so shows no difference. The dictionaries and the calibration see a bounded sample of labelled
-rows, different ones each; scoring reads whole texts and shuffles nothing.
+to almost nothing with both dictionaries, and so shows no difference. The dictionaries and the calibration see a bounded
+sample of labelled rows, different ones each if there are rows enough of both classes; scoring reads whole texts and shuffles nothing.
 
 Null texts count as empty ones, which have no difference. Repeated rows get equal scores. Labels of only one
 class give a constant score, that class; no labels give 1 (nothing is known against any text). Empty tables give
@@ -24,24 +24,42 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.common import bounded_sample, fold, fresh, table
-from tidemark.llm.labelled import SAMPLE_ROWS, labelled_sample
+from tidemark.llm.common import fold, fresh, table
+from tidemark.llm.labelled import SAMPLE_ROWS, labelled_sample, parts
 
-DICTIONARY_ROWS = 400
-"""Most texts of each class that a dictionary is built from."""
 DICTIONARY_PARTS = 4_000
+"""Most blocks of the labelled texts of a class that a dictionary is built from, chosen by their hashes."""
+TEXT_PARTS = 40
+"""Most blocks of one text among them."""
 DICTIONARY_BYTES = 64 * 1024
 BLOCK = 512
 LEVEL = 3
 
 
-def build_dictionary(texts: list[str], size: int = DICTIONARY_BYTES) -> bytes:
-    """A zstandard dictionary of the texts' blocks; of the blocks themselves if they are too few to train on."""
+def dictionary_parts(sample: DataFrame) -> DataFrame:
+    """(label, part): blocks of a labelled sample (text, label) for the dictionaries, cut and chosen in tasks."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
+        from xxhash import xxh64_intdigest
+
+        for batch in batches:
+            for text, label in zip(batch.column(0), batch.column(1)):
+                # A repeated block has the same hash each time and is taken once.
+                found = sorted({(xxh64_intdigest(p, 5) >> 1, p) for p in _blocks(text.as_py().encode())})[:TEXT_PARTS]
+                yield pa.RecordBatch.from_arrays([pa.array([label.as_py()] * len(found), pa.int32()), pa.array([h for h, _ in found], pa.int64()), pa.array([p for _, p in found], pa.binary())], names=["label", "mark", "part"])
+
+    cut = sample.select("text", "label").mapInArrow(run, "label int, mark long, part binary").distinct()
+    chosen = None
+    for label in (0, 1):
+        one = cut.filter(F.col("label") == label).orderBy("mark", "part").limit(DICTIONARY_PARTS)
+        chosen = one if chosen is None else chosen.union(one)
+    return chosen.select("label", "part")
+
+
+def build_dictionary(parts: list[bytes], size: int = DICTIONARY_BYTES) -> bytes:
+    """A zstandard dictionary of blocks; the blocks themselves if they are too few to train on."""
     import zstandard
 
-    parts = [p for t in texts for p in _blocks(t.encode())]
-    step = max(1, len(parts) // DICTIONARY_PARTS)
-    parts = parts[::step]
     try:
         return zstandard.train_dictionary(size, parts, level=LEVEL).as_bytes()
     except zstandard.ZstdError:
@@ -112,16 +130,12 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", keep: Column
     seen = {r.label: r["count"] for r in sample.groupBy("label").count().collect()}
     if not seen.get(0) or not seen.get(1):
         return Quality(b"", b"", (0.0, 0.0), 0.0, 0.0 if seen.get(0) else 1.0)
-    part = F.pmod(F.xxhash64(F.lit(2), "id"), F.lit(2))
-    texts = {}
-    for value in (0, 1):
-        half = sample.filter((F.col("label") == value) & (part == 0))
-        chosen = [r.text for r in bounded_sample(half, ["id"], DICTIONARY_ROWS, 13).select("text").collect() if r.text]
-        if not chosen:
-            chosen = [r.text for r in bounded_sample(sample.filter(F.col("label") == value), ["id"], DICTIONARY_ROWS, 13).select("text").collect()]
-        texts[value] = chosen
-    good, bad = build_dictionary(texts[1]), build_dictionary(texts[0])
-    measured, names = with_sizes(sample.filter(part == 1) if min(seen.values()) >= 8 else sample, "text", good, bad, True)
+    built, rest = parts(sample, 2, 2)
+    found: dict[int, list[bytes]] = {0: [], 1: []}
+    for r in dictionary_parts(built).collect():  # 8,000 blocks of 512 bytes at most
+        found[r.label].append(bytes(r.part))
+    good, bad = build_dictionary(sorted(found[1])), build_dictionary(sorted(found[0]))
+    measured, names = with_sizes(rest, "text", good, bad, True)
     data = VectorAssembler(inputCols=names, outputCol="features").transform(measured.withColumn("weight", F.when(F.col("label") == 0, max(1.0, min(8.0, seen[1] / seen[0]))).otherwise(1.0)))
     fitted = LogisticRegression(labelCol="label", weightCol="weight", regParam=1e-4, maxIter=50).fit(data)
     return Quality(good, bad, tuple(map(float, fitted.coefficients)), float(fitted.intercept))

@@ -209,20 +209,21 @@ def links(distinct: DataFrame, rows: int, radius: int = RADIUS) -> DataFrame:
 
 
 def groups(df: DataFrame, id_column: str, fp: str, radius: int = RADIUS) -> DataFrame:
-    """(id, fingerprint, component) of every row with a fingerprint column, component being the smallest id reachable.
+    """(id, fingerprint, component, root) of every row with a fingerprint column, component being the smallest id reachable
+    and root that row's fingerprint.
 
     Ids are whole numbers; null ones name a component only if it has no other. Equal fingerprints are one node of the
     graph, named by its smallest id, so large groups of copies cost no links and the smallest node names the component.
     """
     rows = checkpointed(df.select(F.col(id_column).cast("long").alias("id"), F.col(fp).alias("fp")))
     nodes = checkpointed(rows.groupBy("fp").agg(F.min(F.coalesce("id", F.lit(NO_ID))).alias("least")))
-    reached = components(links(nodes, nodes.count(), radius)).select("node.fp", F.col("component.least").alias("found"))
-    labelled = nodes.join(reached, "fp", "left").select("fp", F.nullif(F.coalesce("found", "least"), F.lit(NO_ID)).alias("component"))
-    return rows.join(labelled, "fp").select("id", "fp", "component")
+    reached = components(links(nodes, nodes.count(), radius)).select("node.fp", "component")
+    labelled = nodes.join(reached, "fp", "left").select("fp", F.nullif(F.coalesce("component.least", "least"), F.lit(NO_ID)).alias("component"), F.coalesce("component.fp", "fp").alias("root"))
+    return rows.join(labelled, "fp").select("id", "fp", "component", "root")
 
 
 def near_duplicates(df: DataFrame, id_column: str = "doc_id", text: str = "text", words: int = WORDS, radius: int = RADIUS) -> DataFrame:
-    """(id, fingerprint as a signed integer, component) of every row; rows with a null id keep it and link by text alone."""
+    """(id, fingerprint as a signed integer, component, the component's own fingerprint) of every row; rows with a null id keep it and link by text alone."""
     return groups(with_fingerprint(df.select(F.col(id_column).alias("id"), F.col(text).alias("text")), "text", "fp", words), "id", "fp", radius)
 
 

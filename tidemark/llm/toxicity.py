@@ -3,7 +3,8 @@
 The features are densities of a lexicon (a few seed words, and words and stems that labelled toxic texts
 have far oftener than others), its nearness to the second person, capitals, punctuation, and the rate
 of obfuscated words, which count in the lexicon after undoing the obfuscation. Boosted trees and calibration are
-Spark ML models fitted on a bounded sample of labelled rows; scoring reads whole texts and shuffles nothing.
+Spark ML models fitted on a bounded sample of labelled rows: lexicon and trees on three quarters, the calibration on the
+others, which neither has seen. Scoring reads whole texts and shuffles nothing.
 
 Null texts count as empty ones, which get the score of a text without any feature. Repeated rows get equal scores.
 Labels of only one class give a constant score, that class; no labels give 0. Empty tables give empty
@@ -28,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.llm.common import checkpointed, fold, fresh, table
-from tidemark.llm.labelled import SAMPLE_ROWS, labelled_sample
+from tidemark.llm.labelled import SAMPLE_ROWS, labelled_sample, parts
 
 LEXICON_ENTRIES = 2_000
 LEXICON_LEAST = 14.0
@@ -193,21 +194,21 @@ class Toxicity:
     steps: IsotonicRegressionModel | None
     constant: float = 0.0
 
-    def score(self, df: DataFrame, text: str = "text", to: str = "score", drop_text: bool = False) -> DataFrame:
-        """df with a score from 0 to 1 of every whole text."""
-        (to,) = fresh(df, to)
+    def score(self, df: DataFrame, text: str = "text", to: str = "score", drop_text: bool = False, raw: str | None = None) -> DataFrame:
+        """df with a score from 0 to 1 of every whole text, the calibrated probability; where `raw` is named, also the
+        trees' own, which orders texts of equal scores."""
+        made_names = fresh(df, *([to] if raw is None else [to, raw]))
         named = [f"c{i}" for i in range(len(df.columns))]  # no name of df can clash with those of the models
         at = df.columns.index(text)
         kept = [i for i in range(len(named)) if not (drop_text and i == at)]
         made = df.toDF(*named)
         if self.trees is None:
-            made = made.withColumn("score", F.lit(self.constant))
+            made = made.withColumns({"score": F.lit(self.constant), "_raw": F.lit(self.constant)})
         else:
             made, names = with_features(made, named[at], self.lexicon, drop_text)
             made = self.steps.transform(_raw(made, names, self.trees))
-            # The steps decide; the trees' own probability only orders texts within a step.
-            made = made.withColumn("score", 0.98 * F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("_step"))) + 0.02 * F.col("_raw"))
-        return made.select(*(named[i] for i in kept), "score").toDF(*(df.columns[i] for i in kept), to)
+            made = made.withColumn("score", F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("_step"))))
+        return made.select(*(named[i] for i in kept), *["score", "_raw"][: len(made_names)]).toDF(*(df.columns[i] for i in kept), *made_names)
 
 
 def _raw(df: DataFrame, names: list[str], trees: GBTClassificationModel | None) -> DataFrame:
@@ -221,16 +222,16 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", keep: Column |
     seen = {r.label: r["count"] for r in sample.groupBy("label").count().collect()}
     if not seen.get(0) or not seen.get(1):
         return Toxicity({}, None, None, 1.0 if seen.get(1) else 0.0)
-    lexicon = learn_lexicon(sample)
-    made, names = with_features(sample, "text", lexicon, True)
-    made = checkpointed(_raw(made, names, None).withColumn("_weight", F.when(F.col("label") == 1, min(8.0, seen[0] / seen[1])).otherwise(1.0)))
+    fitted, rest = parts(sample, 4, 3)
+    lexicon = learn_lexicon(fitted)
+
+    def featured(rows: DataFrame) -> DataFrame:
+        return checkpointed(_raw(*with_features(rows, "text", lexicon, True), None))
+
+    made = featured(fitted).withColumn("_weight", F.when(F.col("label") == 1, min(8.0, seen[0] / seen[1])).otherwise(1.0))
     booster = GBTClassifier(featuresCol="_features", labelCol="label", weightCol="_weight", predictionCol="_prediction", maxIter=20, maxDepth=3, stepSize=0.3, minInstancesPerNode=max(1, min(20, seen[1] // 10)), seed=11)
-    # Calibration takes rows that the trees it calibrates have not seen, if there are enough of them.
-    part = F.pmod(F.xxhash64(F.lit(3), "id"), F.lit(4))
-    held = {r.label for r in made.filter(part == 0).select("label").distinct().collect()}
-    split = min(seen.values()) >= 40 and held == {0, 1}
-    trees = booster.fit(made.filter(part > 0) if split else made)
-    scored = trees.transform(made.filter(part == 0) if split else made).withColumn("_raw", vector_to_array("probability")[1])
+    trees = booster.fit(made)
+    scored = trees.transform(featured(rest)).withColumn("_raw", vector_to_array("probability")[1])
     steps = IsotonicRegression(featuresCol="_raw", labelCol="label", predictionCol="_step").fit(scored.select("_raw", F.col("label").cast("double").alias("label")))
     return Toxicity(lexicon, trees, steps)
 
@@ -239,4 +240,4 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity of every document; labels are learnt only where crc32(doc_id) mod 5 is not 0."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = fit(docs, table(spark, sf_dir, "labels"), "toxic", fold("doc_id", 5) != 0)
-    return model.score(docs, drop_text=True).select("doc_id", F.coalesce(fold("doc_id", 5) == 0, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+    return model.score(docs, drop_text=True, raw="raw").select("doc_id", F.coalesce(fold("doc_id", 5) == 0, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "raw")
