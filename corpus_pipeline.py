@@ -9,13 +9,14 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from functools import reduce
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import bpe, mixing, secrets, simhash, toxicity
-from tidemark.llm.common import fold, shared_folder, table
+from tidemark.llm.common import checkpointed, fold, fresh, shared_folder, table
 
 MIX_PERCENT, MIX_EPOCHS = 90, 1
 
@@ -23,15 +24,35 @@ MIX_PERCENT, MIX_EPOCHS = 90, 1
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose toxicity is below 0.5; labels are learnt where crc32(doc_id) mod 5 is not 0."""
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"), "toxic", fold("doc_id", 5) != 0)
-    return model.score(docs, to="toxicity").filter("toxicity < 0.5").select(*docs.columns)
+    (score,) = fresh(docs, "toxicity")
+    return model.score(docs, to=score).filter(F.col(score) < 0.5).select(*docs.columns)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group of SimHash near duplicates, one row of it."""
-    found = simhash.near_duplicates(docs.select("doc_id", "text"))
-    kept = found.filter("id = component").select(F.col("id").alias("doc_id")).distinct()
-    # Rows of an id meet in the join already, so taking one of them moves nothing more.
-    return docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).unionByName(docs.filter("doc_id is null")).select(*docs.columns)
+    """The document with the smallest id of each group of SimHash near duplicates, one row of it.
+
+    Near duplicates are op4's: fingerprints of 4-word shingles within 4 of 64 bits. That finds copies and lightly edited
+    ones, and leaves in most texts whose shingles agree to 0.8 only, whose fingerprints differ in some 10 bits. Of
+    rows with one id and different texts, each is judged by its own text; of equal ones the first in order stays.
+    """
+    found = checkpointed(simhash.near_duplicates(docs.select("doc_id", "text")))
+    kept = found.filter("id = component and fp = root").select(F.col("id").alias("doc_id"), "fp").distinct()
+    # Only ids that come with several fingerprints need their rows told apart; there are few or none.
+    twice = found.groupBy("id").agg(F.min("fp").alias("least"), F.max("fp").alias("most")).filter("least <> most and id is not null").select(F.col("id").alias("doc_id"))
+    once = docs.join(kept.join(twice, "doc_id", "left_anti"), "doc_id", "left_semi")
+    out = [_first(once, ["doc_id"]), docs.filter("doc_id is null")]
+    if not twice.isEmpty():
+        text, fp = fresh(docs, "text_copy", "fp")
+        marked = simhash.with_fingerprint(docs.join(twice, "doc_id", "left_semi").withColumn(text, F.col("text")), text, fp)
+        out.append(_first(marked.join(kept.withColumnRenamed("fp", fp), ["doc_id", fp], "left_semi"), ["doc_id", fp]))
+    return reduce(DataFrame.unionByName, (df.select(*docs.columns) for df in out))
+
+
+def _first(docs: DataFrame, keys: list[str]) -> DataFrame:
+    """The row of each key whose text comes first; rows of a key are merged before they are shuffled."""
+    rest = [c for c in docs.columns if c not in keys]
+    (row,) = fresh(docs, "row")
+    return docs.groupBy(*keys).agg(F.min_by(F.struct(*(F.col(f"`{c}`") for c in rest)), F.struct("text", F.xxhash64(*(F.col(f"`{c}`").cast("string") for c in rest)))).alias(row)).select(*keys, f"{row}.*")
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -42,7 +63,9 @@ def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents chosen for a mixture of the target weights, as often as it takes them."""
     mixed = mixing.mix(docs, [F.expr(mixing.DOMAIN), F.col("lang"), F.col("source")], mixing.WEIGHTS, MIX_PERCENT, MIX_EPOCHS, mixing.SEED)
-    return mixed.filter("copies > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*docs.columns)
+    copies = mixed.columns[-1]
+    (copy,) = fresh(mixed, "copy")
+    return mixed.filter(F.col(copies) > 0).withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(copies).cast("int")))).select(*docs.columns)
 
 
 def tokenise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
