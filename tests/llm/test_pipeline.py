@@ -1,17 +1,45 @@
 import hashlib
 import re
+from collections import defaultdict
 
 import public_tokenizers as P
 import pyarrow.parquet as pq
 import tiktoken
 
 import corpus_pipeline as pipeline
+from tests.llm.test_mixing import fill
 from tests.llm.test_simhash import brute
 from tidemark.llm import bpe, mixing, secrets, toxicity
 
 D = "/root/testdata/sf0.001"
 
 
+def mixed_by_definition(leaves, budget):
+    """Ids taken: shares level by level, then the longest prefix in the seeded order; for at most one epoch."""
+    shares = {(): min(budget, sum(n for docs in leaves.values() for _, n in docs))}
+    for depth in range(3):
+        for parent in {k[:depth] for k in leaves}:
+            rooms = defaultdict(int)
+            for k, docs in leaves.items():
+                if k[:depth] == parent:
+                    rooms[k[depth]] += sum(n for _, n in docs)
+            found = fill(shares[parent], {c: (mixing.WEIGHTS[depth].get(c, 1), room) for c, room in rooms.items()})
+            shares |= {(*parent, c): n for c, n in found.items()}
+    taken = set()
+    for leaf, docs in leaves.items():
+        total = sum(n for _, n in docs)
+        if total and shares[leaf] >= total:
+            taken |= {i for i, _ in docs}
+            continue
+        used = 0
+        for i, n in sorted(docs, key=lambda d: hashlib.md5(f"{mixing.SEED}-0-{d[0]}".encode()).hexdigest()):
+            used += n
+            if used > shares[leaf] or not shares[leaf]:
+                break
+            taken.add(i)
+    return taken
+
+
 def test_stages_against_brute_force(spark):
     """Each stage on what its predecessor kept, compared row by row."""
     docs = spark.read.parquet(f"{D}/documents.parquet")
@@ -32,7 +60,10 @@ def test_stages_against_brute_force(spark):
         assert r.text == text and r.n_chars == len(text)
     mixed = pipeline.mix_sources(spark, masked, D)
     have, kept = ({r.doc_id: len(re.findall(r"[^\x20\x09-\x0D]+", r.text)) for r in df.collect()} for df in (masked, mixed))
-    assert kept.keys() <= have.keys() and 0.85 * sum(have.values()) < sum(kept.values()) <= 0.9 * sum(have.values()) or len(kept) < 60
+    leaves = defaultdict(list)
+    for r in masked.collect():
+        leaves[f"d{ord((r.source or chr(0))[-1]) % 3}", r.lang or "", r.source or ""].append((r.doc_id, have[r.doc_id]))
+    assert kept.keys() == mixed_by_definition(leaves, sum(have.values()) * pipeline.MIX_PERCENT // 100)
     ranks = bpe.read_ranks(P.path("byte_bpe_50k.tiktoken"))
     known = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
     texts = {r.doc_id: r.text for r in mixed.collect()}
@@ -57,3 +88,16 @@ def test_run_and_edges(spark, tmp_path):
     for name in ("documents", "labels"):
         spark.read.parquet(f"{d}/{name}.parquet").limit(0).write.parquet(f"{empty}/{name}.parquet")
     assert pipeline.run(spark, empty).count() == 0
+
+
+def test_near_copies_with_repeated_ids_and_clashing_names(spark):
+    """Different texts of one id are judged apart, equal ones are one; columns named like the stage's own pass through."""
+    one, two, three = ("alpha beta gamma delta epsilon zeta eta theta", "one two three four five six seven eight nine", "un deux trois quatre cinq six sept huit neuf dix")
+    rows = [(1, one), (2, two), (2, three), (2, three), (3, two), (4, three), (5, "quite another text of its own with words"), (None, one)]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t), 7, -1, 1.0, "x", 0, 9) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long, fp long, root int, toxicity double, row string, copies int, copy int")
+    got = pipeline.drop_near_copies(spark, docs, D)
+    assert got.columns == docs.columns
+    assert sorted(((r.doc_id or 0), r.text) for r in got.collect()) == sorted([(0, one), (1, one), (2, two), (2, three), (5, rows[6][1])])
+    assert pipeline.drop_toxic(spark, docs, D).columns == docs.columns
+    mixed = pipeline.mix_sources(spark, docs, D)
+    assert mixed.columns == docs.columns and {r.copies for r in mixed.collect()} <= {0} and {r.copy for r in mixed.collect()} <= {9}
