@@ -501,8 +501,8 @@ def with_media(df: DataFrame, text: str = "text", tensors: bool = True, replace:
 
 
 def op8_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document as a progressive JPEG: digests of what is stored and read back, and mean colours of the tensor."""
-    made = with_media(table(spark, sf_dir, "documents").select("doc_id", "text"), tensors=False, replace=True)
+    """Every document as a progressive JPEG: digests of what is stored and read back, and of the tensor with its mean colours."""
+    made = with_media(table(spark, sf_dir, "documents").select("doc_id", "text"), replace=True)
     size = F.octet_length("payload")
     return made.select(
         "doc_id",
@@ -513,4 +513,5 @@ def op8_media(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.octet_length("media").cast("long").alias("media_bytes"),
         F.sha2("media", 256).alias("media_sha256"),
         F.concat(F.col("width"), F.lit("x"), F.col("height"), F.lit(":"), F.array_join(F.transform("channel_sums", lambda s: F.round(s / (F.col("width") * F.col("height")), 3).cast("string")), ",")).alias("feature"),
+        F.sha2("rgb", 256).alias("rgb_sha256"),
     )
