@@ -53,3 +53,20 @@ def bounded_sample(df: DataFrame, keys: Sequence[str], rows: int, seed: int) ->
     """At most `rows` rows, the same ones on every run: those with the smallest seeded hashes of the keys."""
     (order,) = fresh(df, "order")
     return df.withColumn(order, F.xxhash64(F.lit(seed), *keys)).orderBy(order, *keys).limit(rows).drop(order)
+
+
+HOT_KEYS = 10_000
+
+
+def joined_by_weight(rows: DataFrame, known: DataFrame, keys: Sequence[str], weight: str, total: int) -> DataFrame:
+    """rows joined with known, which has each key once and in `weight` how many rows have it; no task gets a hot key whole.
+
+    Fewer than HOT_KEYS keys can each have more than the total's share of one in HOT_KEYS: those are broadcast, the
+    others, none of which is large, are shuffled.
+    """
+    hot = F.col(weight) * HOT_KEYS > total
+    frequent = known.filter(hot).drop(weight)
+    rare = known.filter(~hot).drop(weight)
+    keys = list(keys)
+    direct = rows.join(F.broadcast(frequent), keys)
+    return direct.unionByName(rows.join(F.broadcast(frequent.select(*keys)), keys, "left_anti").join(rare, keys))

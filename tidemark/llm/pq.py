@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.common import checkpointed, table
+from tidemark.llm.common import checkpointed, joined_by_weight, table
 from tidemark.llm.components import components
 from tidemark.llm.simhash import spanning
 
@@ -204,11 +204,15 @@ def fit(stored: DataFrame, rows: int, size: int, threshold: float, probes: int |
         hashes, vectors = rows["h1"].to_numpy()[order], unit(rows["v"])[order]
         vectors = vectors[~held_out(hashes)] if (~held_out(hashes)).any() else vectors
         # A crowded cell gets more lists, up to four times the mean.
-        wanted = max(1, min(round(lists * len(rows) / seen), 4 * mean, len(vectors)))
+        wanted = max(1, min(round(lists * rows["n"][0].as_py() / seen), 4 * mean, len(vectors)))
         centres = kmeans(vectors[: 16 * wanted], wanted)
         return pa.table({"cell": pa.array([key[0].as_py()] * len(centres), pa.int32()), "place": pa.array(range(len(centres)), pa.int32()), "centre": pa.array([c.tobytes() for c in centres], pa.binary())})
 
-    found = sample.mapInArrow(assign, "cell int, " + SAMPLED.format(kind)).groupBy("cell").applyInArrow(lists_of, "cell int, place int, centre binary")
+    # A crowded cell needs no more of the sample than its lists do.
+    assigned = checkpointed(sample.mapInArrow(assign, "cell int, " + SAMPLED.format(kind)))
+    crowds = assigned.groupBy("cell").agg(F.count("*").alias("n"))  # as many rows as cells
+    assigned = assigned.join(F.broadcast(crowds), "cell").filter((F.col("n") <= 80 * mean) | (F.pmod(F.xxhash64(F.lit(7), "h1", "h2"), F.col("n")) < 80 * mean))
+    found = assigned.groupBy("cell").applyInArrow(lists_of, "cell int, place int, centre binary")
     found = sorted((r.cell, r.place, bytes(r.centre)) for r in found.collect())  # at most LIST_BYTES, and as much again for crowded cells
     centres, cell_of = np.array([np.frombuffer(c) for _, _, c in found]), np.array([c for c, _, _ in found])
 
@@ -304,8 +308,9 @@ def near_duplicates(df: DataFrame, id_column: str = "vec_id", vector: str = "emb
     reached = components(out.filter("other_h1 is not null").select(F.struct("least", "h1").alias("a"), F.struct(F.col("other_least").alias("least"), F.col("other_h1").alias("h1")).alias("b")))
     reached = reached.select("node.least", "node.h1", F.col("component.least").alias("component"))
     labelled = stored.select("h1", "h2", "least", "many").join(counts, ["least", "h1"], "left").join(reached, ["least", "h1"], "left")
-    known = labelled.select("h1", "h2", (F.coalesce("n", F.lit(0)) + F.col("many") - 1).alias("n_links"), F.nullif(F.coalesce("component", "least"), F.lit(NO_ID)).alias("component"))
-    return linked.select("id", "h1", "h2").join(known, ["h1", "h2"]).select("id", "n_links", "component").unionByName(nothing)
+    known = labelled.select("h1", "h2", (F.coalesce("n", F.lit(0)) + F.col("many") - 1).alias("n_links"), F.nullif(F.coalesce("component", "least"), F.lit(NO_ID)).alias("component"), "many")
+    total = stored.agg(F.sum("many")).first()[0]
+    return joined_by_weight(linked.select("id", "h1", "h2"), known, ["h1", "h2"], "many", total).select("id", "n_links", "component").unionByName(nothing)
 
 
 def _search(stored: DataFrame, rows: int, size: int, threshold: float, probes: int | None) -> DataFrame:

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.common import checkpointed, fresh, table
+from tidemark.llm.common import checkpointed, fresh, joined_by_weight, table
 from tidemark.llm.components import components
 
 WORDS = 4
@@ -216,10 +216,10 @@ def groups(df: DataFrame, id_column: str, fp: str, radius: int = RADIUS) -> Data
     graph, named by its smallest id, so large groups of copies cost no links and the smallest node names the component.
     """
     rows = checkpointed(df.select(F.col(id_column).cast("long").alias("id"), F.col(fp).alias("fp")))
-    nodes = checkpointed(rows.groupBy("fp").agg(F.min(F.coalesce("id", F.lit(NO_ID))).alias("least")))
+    nodes = checkpointed(rows.groupBy("fp").agg(F.min(F.coalesce("id", F.lit(NO_ID))).alias("least"), F.count("*").alias("many")))
     reached = components(links(nodes, nodes.count(), radius)).select("node.fp", "component")
-    labelled = nodes.join(reached, "fp", "left").select("fp", F.nullif(F.coalesce("component.least", "least"), F.lit(NO_ID)).alias("component"), F.coalesce("component.fp", "fp").alias("root"))
-    return rows.join(labelled, "fp").select("id", "fp", "component", "root")
+    labelled = nodes.join(reached, "fp", "left").select("fp", F.nullif(F.coalesce("component.least", "least"), F.lit(NO_ID)).alias("component"), F.coalesce("component.fp", "fp").alias("root"), "many")
+    return joined_by_weight(rows, labelled, ["fp"], "many", rows.count()).select("id", "fp", "component", "root")
 
 
 def near_duplicates(df: DataFrame, id_column: str = "doc_id", text: str = "text", words: int = WORDS, radius: int = RADIUS) -> DataFrame:
