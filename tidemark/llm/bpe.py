@@ -31,10 +31,10 @@ from pyspark.sql import types as T
 
 from tidemark.llm.common import fresh, table
 
-STATES = 130_000
-PAIRS = 250_000
-SEGMENTS = 90_000
-"""Bounds of a worker's memory (about 120 MB in all): what is beyond them is forgotten and made again when needed."""
+STATES = 200_000
+PAIRS = 400_000
+SEGMENTS = 120_000
+"""Bounds of a worker's memory (about 180 MB in all): what is beyond them is forgotten and made again when needed."""
 MET = 1 << 20
 NODE = 24
 LOW = (1 << NODE) - 1
@@ -173,8 +173,17 @@ class Transducer:
         out: list[int] = []
         ends: list[int] = []  # since the last emission, the token that is complete behind each byte
         state: int | bytes = 0
-        get, closed = self.moves.get, self.closed
-        for byte in piece:
+        moves, closed = self.moves, self.closed
+        try:  # most pieces go by known moves to their end
+            for byte in piece[:LOOKAHEAD]:
+                state = moves[state << 8 | byte]
+                ends.append(closed[state])
+        except KeyError:
+            pass
+        if len(ends) == len(piece):
+            return self.trace(ends, len(ends))
+        get = moves.get
+        for byte in piece[len(ends) :]:
             if state.__class__ is int:
                 following = get(state << 8 | byte)
                 if following is None:
@@ -281,9 +290,8 @@ class Encoder:
         return b"".join(out)
 
     def release(self) -> None:
-        """Keep the vocabulary alone, so that a worker that waits for its next task holds little."""
+        """Drop the known segments after a task; what the transducer has learnt serves the worker's next one."""
         self.known.clear()
-        self.transducer.forget()
 
 
 # --- UTF-8: byte classes and transitions, from the table of well-formed sequences in the Unicode standard
@@ -352,12 +360,17 @@ class StreamDecoder:
     always the same and kept; a token that begins inside a character is read with what is held of that one.
     """
 
-    def __init__(self, tokens: Mapping[int, bytes], known: dict[int, tuple[str, bytes]] | None = None) -> None:
+    def __init__(self, tokens: Mapping[int, bytes], known: tuple[dict[int, tuple[str, bytes]], dict[int, str]] | None = None) -> None:
         self.tokens, self.held = tokens, b""
-        self.known = {} if known is None else known
+        self.known, self.whole = ({}, {}) if known is None else known
 
     def feed(self, ids: Iterable[int]) -> str:
         out, held, known = [], self.held, self.known
+        if not held:
+            try:  # tokens that are whole characters, all of them met before
+                return "".join(map(self.whole.__getitem__, ids))
+            except KeyError:
+                pass
         for i in ids:
             if held:
                 text, held = utf8_run(held + self.tokens[i])
@@ -365,6 +378,8 @@ class StreamDecoder:
                 made = known.get(i)
                 if made is None:
                     made = known[i] = utf8_run(self.tokens[i])
+                    if not made[1]:
+                        self.whole[i] = made[0]
                 text, held = made
             out.append(text)
         self.held = held
@@ -408,7 +423,7 @@ def _with(df: DataFrame, column: str, function, made: dict[str, T.DataType], rep
     return df.mapInArrow(run, T.StructType([*fields, *(T.StructField(n, k) for n, k in zip(names, made.values()))]))
 
 
-def _decoded(packed: bytes, tokens: Mapping[int, bytes], known: dict[int, tuple[str, bytes]]) -> str:
+def _decoded(packed: bytes, tokens: Mapping[int, bytes], known: tuple[dict[int, tuple[str, bytes]], dict[int, str]]) -> str:
     found = memoryview(packed).cast("I")
     stream, out = StreamDecoder(tokens, known), []
     for at in range(0, len(found), DECODE_CHUNK):
@@ -428,7 +443,7 @@ def encode(
 
     def worker():
         encoder = _encoder(ranks_path, pattern, segment)
-        tokens, known = encoder.transducer.tokens, {}
+        tokens, known = encoder.transducer.tokens, ({}, {})
 
         def one(value: str | None) -> tuple:
             packed = encoder.packed(value) if value else b""
@@ -446,8 +461,8 @@ def decode(df: DataFrame, ids: str, ranks_path: str, to: str = "decoded", replac
     def worker():
         if ("tokens", ranks_path) not in _made:
             _made["tokens", ranks_path] = {i: t for t, i in read_ranks(ranks_path).items()}
-        tokens, known = _made["tokens", ranks_path], {}
-        return lambda packed: (_decoded(packed or b"", tokens, known),), known.clear
+        tokens, known = _made["tokens", ranks_path], ({}, {})
+        return lambda packed: (_decoded(packed or b"", tokens, known),), lambda: None
 
     return _with(df, ids, worker, {to: T.StringType()}, replace)
 
