@@ -131,16 +131,20 @@ class Transducer:
         """The configurations after one more byte. The last of them has the token that ends here, and a new one begun."""
         found = []
         closed = -1
+        child, inner, token_at, pairs = self.child.get, self.inner, self.token_at, self.pairs.get
         for c in unpack(configs):
-            node = self.child.get((c & LOW) << 8 | byte)
+            node = child((c & LOW) << 8 | byte)
             if node is None:
                 continue
-            if self.inner[node]:
+            if inner[node]:
                 found.append(c & ~LOW | node)
             if closed < 0:
-                token = self.token_at[node]
-                if token >= 0 and self.may_follow((c >> NODE) - 1, token):
-                    closed = token
+                token = token_at[node]
+                if token >= 0:
+                    last = (c >> NODE) - 1
+                    apart = pairs(last << 32 | token)
+                    if self.may_follow(last, token) if apart is None else apart:
+                        closed = token
         if closed < 0:
             raise ValueError("the vocabulary lacks single bytes of this text")
         found.append(closed + 1 << NODE)
