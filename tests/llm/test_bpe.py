@@ -61,6 +61,10 @@ def test_forgetting_changes_no_ids(monkeypatch):
         assert len(small.transducer.packed) <= 40 and len(small.known.young) <= 5
     small.release()
     assert not small.known.young and not small.known.old
+    lean = bpe.Encoder(RANKS, P.PATTERN, bpe.SEGMENT, lean=True)
+    assert lean.packed("unbelievably odd") == small.packed("unbelievably odd")
+    lean.release()
+    assert len(lean.transducer.packed) == 1
 
 
 def test_long_pieces_emit_before_their_end(monkeypatch):

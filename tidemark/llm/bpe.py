@@ -35,6 +35,8 @@ STATES = 200_000
 PAIRS = 400_000
 SEGMENTS = 120_000
 """Bounds of a worker's memory (about 180 MB in all): what is beyond them is forgotten and made again when needed."""
+LEAN = 0.65
+"""Share of these bounds for a worker whose memory other stages need too."""
 MET = 1 << 20
 NODE = 24
 LOW = (1 << NODE) - 1
@@ -56,7 +58,8 @@ def read_ranks(path: str) -> dict[bytes, int]:
 class Transducer:
     """From bytes to token ids, for one vocabulary."""
 
-    def __init__(self, ranks: dict[bytes, int]):
+    def __init__(self, ranks: dict[bytes, int], share: float = 1.0):
+        self.most_states, self.most_pairs = int(STATES * share), int(PAIRS * share)
         self.ranks = ranks
         self.tokens = {i: t for t, i in ranks.items()}
         # The trie of the tokens: node * 256 + byte to node, root 0; by node the token that ends there (or -1), its depth, and whether it has children.
@@ -160,7 +163,7 @@ class Transducer:
             if not self.met[key % MET]:
                 self.met[key % MET] = 1
                 return configs
-            if len(self.packed) >= STATES or len(self.pairs) >= PAIRS:
+            if len(self.packed) >= self.most_states or len(self.pairs) >= self.most_pairs:
                 self.forget()
                 return configs
             known = self.number[configs] = len(self.packed)
@@ -266,13 +269,15 @@ class Recent:
 class Encoder:
     """Whole texts to their packed ids: by known segments, or by their pieces and the transducer."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str, segment: str | None):
+    def __init__(self, ranks: dict[bytes, int], pattern: str, segment: str | None, lean: bool = False):
         import regex
 
-        self.transducer = Transducer(ranks)
+        self.lean = lean
+        share = LEAN if lean else 1.0
+        self.transducer = Transducer(ranks, share)
         self.split = regex.compile(pattern).findall
         self.segments = re.compile(segment).findall if segment else lambda text: [text]
-        self.known = Recent(SEGMENTS)
+        self.known = Recent(int(SEGMENTS * share))
 
     def segment(self, segment: str) -> bytes:
         ids = [i for piece in self.split(segment) for i in self.transducer.encode(piece.encode())]
@@ -294,8 +299,10 @@ class Encoder:
         return b"".join(out)
 
     def release(self) -> None:
-        """Drop the known segments after a task; what the transducer has learnt serves the worker's next one."""
+        """Drop the known segments after a task; what the transducer has learnt serves the worker's next one, unless it is lean."""
         self.known.clear()
+        if self.lean:
+            self.transducer.forget()
 
 
 # --- UTF-8: byte classes and transitions, from the table of well-formed sequences in the Unicode standard
@@ -399,10 +406,10 @@ class StreamDecoder:
 _made: dict[tuple, object] = {}
 
 
-def _encoder(path: str, pattern: str, segment: str | None) -> Encoder:
-    key = ("encoder", path, pattern, segment)
+def _encoder(path: str, pattern: str, segment: str | None, lean: bool = False) -> Encoder:
+    key = ("encoder", path, pattern, segment, lean)
     if key not in _made:
-        _made[key] = Encoder(read_ranks(path), pattern, segment)
+        _made[key] = Encoder(read_ranks(path), pattern, segment, lean)
     return _made[key]
 
 
@@ -437,16 +444,17 @@ def _decoded(packed: bytes, tokens: Mapping[int, bytes], known: tuple[dict[int,
 
 
 def encode(
-    df: DataFrame, text: str, ranks_path: str, pattern: str, to: str = "ids", segment: str | None = None, replace: bool = False, decoded: str | None = None
+    df: DataFrame, text: str, ranks_path: str, pattern: str, to: str = "ids", segment: str | None = None, replace: bool = False, decoded: str | None = None, lean: bool = False
 ) -> DataFrame:
     """Add `to`: the token ids of every whole text, packed as little-endian unsigned 32-bit integers (null: no ids).
 
     `segment` may name a cheaper pattern that cuts only where `pattern` cuts too. `replace` drops the texts. `decoded`
-    names a further column for what the ids decode to, made in the same worker with the same vocabulary.
+    names a further column for what the ids decode to, made in the same worker with the same vocabulary. `lean` bounds
+    what a worker keeps more tightly, and lets it keep the vocabulary alone between tasks; ids are the same.
     """
 
     def worker():
-        encoder = _encoder(ranks_path, pattern, segment)
+        encoder = _encoder(ranks_path, pattern, segment, lean)
         tokens, known = encoder.transducer.tokens, ({}, {})
 
         def one(value: str | None) -> tuple:
