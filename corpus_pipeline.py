@@ -71,7 +71,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def tokenise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every text, packed, with their count, their hash and that of what they decode to."""
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
-    encoded = bpe.encode(docs.select("doc_id", "lang", "source", "text"), "text", path, public_tokenizers.PATTERN, segment=bpe.SEGMENT, replace=True, decoded="decoded")
+    encoded = bpe.encode(docs.select("doc_id", "lang", "source", "text"), "text", path, public_tokenizers.PATTERN, segment=bpe.SEGMENT, replace=True, decoded="decoded", lean=True)
     return bpe.digests(encoded.withColumn("token_ids", F.col("ids")))
 
 
