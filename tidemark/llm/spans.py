@@ -20,15 +20,14 @@ def with_spans(df: DataFrame, text: str, patterns: dict[str, tuple[str, str]]) -
     """Add a column of spans, an array of (start, end, text), for each pattern, leftmost and not overlapping.
 
     patterns: column name to (pattern, SQL condition); texts that don't meet the condition have no match. The text
-    between matches comes from splitting by the same pattern; lengths added up give the offsets. They
+    between matches comes from splitting by the same pattern, where there are any; lengths added up give the offsets. They
     are added in chunks, so that a text with very many matches is not copied for each.
     """
-    between, matches = {}, {}
-    for name, (pattern, condition) in patterns.items():
-        quoted = sql_string(pattern)
-        between[f"{name}_between"] = F.expr(f"CASE WHEN {condition} THEN split({text}, {quoted}, -1) END")
-        matches[name] = F.expr(f"CASE WHEN {condition} THEN regexp_extract_all({text}, {quoted}, 0) END")
-    df = df.withColumns(between | matches)
+    quoted = {name: sql_string(pattern) for name, (pattern, _) in patterns.items()}
+    df = df.withColumns({name: F.expr(f"CASE WHEN {condition} THEN regexp_extract_all({text}, {quoted[name]}, 0) END") for name, (_, condition) in patterns.items()})
+    # Matches are columns of their own by now: a text without any is read by its pattern once, not twice.
+    between = {f"{name}_between": F.expr(f"CASE WHEN size({name}) > 0 THEN split({text}, {quoted[name]}, -1) END") for name in patterns}
+    df = df.withColumns(between)
     out = {}
     for name in patterns:
         b, m = f"{name}_between", name
