@@ -30,6 +30,29 @@ def test_segments_keep_the_pieces(text):
     assert SEGMENTED.packed(text) == b"".join(i.to_bytes(4, "little") for i in KNOWN.encode_ordinary(text))
 
 
+@settings(max_examples=300, deadline=None)
+@given(st.text(alphabet="aZ\u00e9\u024f\u0250\u0301\u00b2\u00aa\u00d7\u4e2d\u0378'st.,[`{\x7f_1 \n\x00\x1c\u2003", max_size=40))
+def test_segments_end_behind_words_where_pieces_do(text):
+    assert SEGMENTED.packed(text) == b"".join(i.to_bytes(4, "little") for i in KNOWN.encode_ordinary(text))
+
+
+def test_words_are_encoded_twice_at_most(monkeypatch):
+    """Whatever mark follows a word, and in whatever task of a worker it is met: it is made until its second use only."""
+    made = []
+    encoded = bpe.Encoder.segment
+    monkeypatch.setattr(bpe.Encoder, "segment", lambda self, segment: made.append(segment) or encoded(self, segment))
+    monkeypatch.setattr(bpe, "_made", {})
+    monkeypatch.setattr(bpe, "_with", lambda df, column, function, made, replace: function)
+    worker = bpe.encode(None, "text", PATH, P.PATTERN, segment=bpe.SEGMENT)
+    text = "A zanthorble, zanthorble. zanthorble; zanthorble's zanthorble\n zanthorble) zanthorble"
+    ids = b"".join(i.to_bytes(4, "little") for i in KNOWN.encode_ordinary(text))
+    for _ in range(3):
+        one, release = worker()
+        assert one(text) == (ids,)
+        release()
+    assert sum("zanthorble" in segment for segment in made) == 2
+
+
 def test_words_of_the_documents():
     words = {w for t in pq.read_table("/root/testdata/sf0.001/documents.parquet")["text"].to_pylist() if t for w in t.split(" ")}
     for w in words:

@@ -22,7 +22,9 @@ import re
 import struct
 import sys
 from array import array
-from collections.abc import Iterable, Iterator, Mapping
+from collections.abc import Callable, Iterable, Iterator, Mapping
+from itertools import accumulate
+from operator import getitem
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -46,8 +48,10 @@ SLICE = 256
 DECODE_CHUNK = 1 << 16
 SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 """Unicode's white space, as a character class."""
-SEGMENT = f" ?[^{SPACE}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+"
-"""Cuts text only where a pattern cuts it whose matches have white space at most as one leading space or alone."""
+WORD = " ?[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]++(?=[\\x00-@\\[-`{-\\x7f]|\\Z)"
+"""A run of Latin letters that ends where the text does or before an ASCII character that is no letter."""
+SEGMENT = f"{WORD}| ?[^{SPACE}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+"
+"""Cuts text only where a pattern cuts it whose matches have white space at most as one leading space or alone, and end behind a run of letters."""
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -78,16 +82,16 @@ class Transducer:
         for key in self.child:
             self.inner[key >> 8] = 1
         self.halves: dict[int, tuple[int, int] | None] = {}
+        self.packed: dict[bytes, State] = {}
         self.forget()
 
     def forget(self) -> None:
         """Drop all states, transitions and known pairs; the vocabulary stays."""
-        # A state is its packed configurations, oldest first: (last complete token + 1) << NODE | node of the unfinished one.
-        self.packed: list[bytes] = [pack([0])]
-        self.number: dict[bytes, int] = {self.packed[0]: 0}
-        self.closed = [-1]  # by state, the token that is complete where the input ends there
-        # By state * 256 + byte: the next state.
-        self.moves: dict[int, int] = {}
+        for state in self.packed.values():
+            state.clear()
+        # The kept states by their packed configurations, oldest first: (last complete token + 1) << NODE | node of the unfinished one.
+        self.start = State(self, pack([0]), 0)
+        self.packed = {self.start.configs: self.start}
         self.pairs: dict[int, bool] = {}
         self.met = bytearray(MET)
 
@@ -153,23 +157,23 @@ class Transducer:
         found.append(closed + 1 << NODE)
         return pack(found)
 
-    def move(self, state: int, byte: int) -> int | bytes:
-        """The next state's number, or its configurations while it is not kept: it is from its second use on."""
-        configs = self.step(self.packed[state], byte)
-        key = state << 8 | byte
-        known = self.number.get(configs)
+    def move(self, state: State, byte: int) -> State:
+        """The next state. It and the transition are kept from the second use on."""
+        configs = self.step(state.configs, byte)
+        known = self.packed.get(configs)
+        if state.number < 0:
+            return State(self, configs) if known is None else known
         if known is None:
             # Most are met once only. Two keys may share a mark; one is then kept early.
-            if not self.met[key % MET]:
-                self.met[key % MET] = 1
-                return configs
+            mark = (state.number << 8 | byte) % MET
+            if not self.met[mark]:
+                self.met[mark] = 1
+                return State(self, configs)
             if len(self.packed) >= self.most_states or len(self.pairs) >= self.most_pairs:
                 self.forget()
-                return configs
-            known = self.number[configs] = len(self.packed)
-            self.packed.append(configs)
-            self.closed.append(closed_in(configs))
-        self.moves[key] = known
+                return State(self, configs)
+            known = self.packed[configs] = State(self, configs, len(self.packed))
+        state[byte] = known
         return known
 
     def encode(self, piece: bytes) -> list[int]:
@@ -178,57 +182,50 @@ class Transducer:
         if whole is not None:
             return [whole]
         out: list[int] = []
-        ends: list[int] = []  # since the last emission, the token that is complete behind each byte
-        state: int | bytes = 0
-        moves, closed = self.moves, self.closed
-        try:  # most pieces go by known moves to their end
-            for byte in piece[:LOOKAHEAD]:
-                state = moves[state << 8 | byte]
-                ends.append(closed[state])
-        except KeyError:
-            pass
-        if len(ends) == len(piece):
-            return self.trace(ends, len(ends))
-        get = moves.get
-        for byte in piece[len(ends) :]:
-            if state.__class__ is int:
-                following = get(state << 8 | byte)
-                if following is None:
-                    following = self.move(state, byte)
-                    get, closed = self.moves.get, self.closed
-            else:
-                following = self.step(state, byte)
-                following = self.number.get(following, following)
-            state = following
-            ends.append(closed[state] if state.__class__ is int else closed_in(state))
-            if len(ends) >= LOOKAHEAD:
-                cut = self.agreed(state, ends)
-                out += self.trace(ends, cut)
-                del ends[:cut]
-        return out + self.trace(ends, len(ends))
-
-    def trace(self, ends: list[int], at: int) -> list[int]:
+        states = [self.start]  # behind each byte since the last emission
+        for start in range(0, len(piece), LOOKAHEAD):
+            if start:
+                cut = self.agreed(states)
+                out += self.trace(states, cut)
+                del states[:cut]
+            states = [*states[:-1], *accumulate(piece[start : start + LOOKAHEAD], getitem, initial=states[-1])]
+        return out + self.trace(states, len(states) - 1)
+
+    def trace(self, states: list[State], at: int) -> list[int]:
         """The tokens up to a place, read from the last one back."""
-        out = []
+        out, tokens = [], self.tokens
         while at:
-            token = ends[at - 1]
+            token = states[at].closed
             out.append(token)
-            at -= len(self.tokens[token])
+            at -= len(tokens[token])
         return out[::-1]
 
-    def agreed(self, state: int | bytes, ends: list[int]) -> int:
+    def agreed(self, states: list[State]) -> int:
         """How far all configurations of the last state have the same tokens."""
         shared: set[int] | None = None
-        for c in unpack(state if state.__class__ is bytes else self.packed[state]):
-            at = len(ends) - self.depth[c & LOW]
+        for c in unpack(states[-1].configs):
+            at = len(states) - 1 - self.depth[c & LOW]
             places = {at}
             while at:
-                at -= len(self.tokens[ends[at - 1]])
+                at -= len(self.tokens[states[at].closed])
                 places.add(at)
             shared = places if shared is None else shared & places
         return max(shared)
 
 
+class State(dict):
+    """A determinised state with its known transitions, by byte; those that are missing are made."""
+
+    __slots__ = ("transducer", "configs", "number", "closed")
+
+    def __init__(self, transducer: Transducer, configs: bytes, number: int = -1):
+        self.transducer, self.configs, self.number = transducer, configs, number  # -1: not kept
+        self.closed = closed_in(configs)  # the token that is complete where the input ends here
+
+    def __missing__(self, byte: int) -> State:
+        return self.transducer.move(self, byte)
+
+
 def pack(configs: list[int]) -> bytes:
     return array("Q", configs).tobytes()
 
@@ -241,27 +238,47 @@ def closed_in(configs: bytes) -> int:
     return (int.from_bytes(configs[-8:], sys.byteorder) >> NODE) - 1
 
 
+class Asking(dict):
+    """A dictionary that asks a function for the keys it does not hold."""
+
+    def __init__(self, ask: Callable):
+        self.ask = ask
+
+    def __missing__(self, key):
+        return self.ask(key)
+
+
 class Recent:
-    """Results by key, kept from a key's second use on. When full, what was not used since the last time goes."""
+    """Results by key, made when asked for and kept from a key's second use on. When full, what was not used since the last time goes."""
 
-    def __init__(self, bound: int):
-        self.bound = bound
+    def __init__(self, bound: int, make: Callable[[str], bytes]):
+        self.bound, self.make = bound, make
+        self.young = Asking(self.find)
         self.clear()
 
     def clear(self) -> None:
-        self.young: dict = {}
+        self.young.clear()
         self.old: dict = {}
         self.met = bytearray(MET)
 
-    def put(self, key, value) -> None:
+    def find(self, key: str) -> bytes:
+        """What the young ones lack. Long keys are not kept."""
+        found = self.old.get(key)
+        if found is None:
+            found = self.make(key)
+        if len(key) <= 64:
+            self.put(key, found)
+        return found
+
+    def put(self, key: str, value: bytes) -> None:
         # Two keys may share a mark; one is then kept from its first use.
         mark = hash(key) % MET
         if not self.met[mark]:
             self.met[mark] = 1
         else:
             if len(self.young) >= self.bound:
-                self.old = self.young
-                self.young = {}
+                self.old = dict(self.young)
+                self.young.clear()
                 self.met = bytearray(MET)
             self.young[key] = value
 
@@ -277,29 +294,17 @@ class Encoder:
         self.transducer = Transducer(ranks, share)
         self.split = regex.compile(pattern).findall
         self.segments = re.compile(segment).findall if segment else lambda text: [text]
-        self.known = Recent(int(SEGMENTS * share))
+        self.known = Recent(int(SEGMENTS * share), self.segment)
 
     def segment(self, segment: str) -> bytes:
         ids = [i for piece in self.split(segment) for i in self.transducer.encode(piece.encode())]
         return struct.pack(f"<{len(ids)}I", *ids)
 
     def packed(self, text: str) -> bytes:
-        out, known = [], self.known
-        get = known.young.get
-        for segment in self.segments(text):
-            found = get(segment)
-            if found is None:
-                found = known.old.get(segment)
-                if found is None:
-                    found = self.segment(segment)
-                if len(segment) <= 64:
-                    known.put(segment, found)
-                    get = known.young.get
-            out.append(found)
-        return b"".join(out)
+        return b"".join(map(self.known.young.__getitem__, self.segments(text)))
 
     def release(self) -> None:
-        """Drop the known segments after a task; what the transducer has learnt serves the worker's next one, unless it is lean."""
+        """Drop the known segments; what the transducer has learnt stays, unless it is lean."""
         self.known.clear()
         if self.lean:
             self.transducer.forget()
@@ -450,7 +455,8 @@ def encode(
 
     `segment` may name a cheaper pattern that cuts only where `pattern` cuts too. `replace` drops the texts. `decoded`
     names a further column for what the ids decode to, made in the same worker with the same vocabulary. `lean` bounds
-    what a worker keeps more tightly, and lets it keep the vocabulary alone between tasks; ids are the same.
+    what a worker keeps more tightly, and lets it keep the vocabulary alone between tasks; else what one task has learnt
+    serves the worker's next one. Ids are the same.
     """
 
     def worker():
@@ -461,7 +467,7 @@ def encode(
             packed = encoder.packed(value) if value else b""
             return (packed,) if decoded is None else (packed, _decoded(packed, tokens, known))
 
-        return one, encoder.release
+        return one, encoder.release if lean else lambda: None
 
     made = {to: T.BinaryType()} | ({} if decoded is None else {decoded: T.StringType()})
     return _with(df, text, worker, made, replace)
