@@ -1,4 +1,6 @@
+import gc
 import hashlib
+import sys
 
 import public_tokenizers as P
 import pyarrow.parquet as pq
@@ -90,6 +92,19 @@ def test_forgetting_changes_no_ids(monkeypatch):
     assert len(lean.transducer.packed) == 1
 
 
+def test_lean_workers_keep_the_vocabulary_alone():
+    texts = [t for t in pq.read_table("/root/testdata/sf0.001/documents.parquet")["text"].to_pylist()[:60] if t]
+    lean = bpe.Encoder(RANKS, P.PATTERN, bpe.SEGMENT, lean=True)
+    gc.collect()
+    blocks = sys.getallocatedblocks()
+    for text in texts:
+        lean.packed(text[::-1])
+    assert sys.getallocatedblocks() - blocks > 20_000
+    lean.release()
+    gc.collect()
+    assert sys.getallocatedblocks() - blocks < 500
+
+
 def test_long_pieces_emit_before_their_end(monkeypatch):
     monkeypatch.setattr(bpe, "LOOKAHEAD", 64 + max(map(len, RANKS)))
     for piece in ("ab" * 3_000, "".join(sorted("thequickbrownfox" * 300)), "\u00e9\u4e2d" * 900, "a" * 5_000):

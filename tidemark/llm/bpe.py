@@ -81,7 +81,9 @@ class Transducer:
         self.inner = bytearray(len(self.token_at))
         for key in self.child:
             self.inner[key >> 8] = 1
-        self.halves: dict[int, tuple[int, int] | None] = {}
+        # By a token's place: its halves as (left + 1) << 32 | right; 0: not split yet, 1: a single byte. An array, as small objects that stay would hold forgotten ones' memory.
+        self.place = {token: place for place, token in enumerate(self.tokens)}
+        self.halves = array("Q", bytes(8 * len(self.place)))
         self.packed: dict[bytes, State] = {}
         self.forget()
 
@@ -97,14 +99,16 @@ class Transducer:
 
     def split(self, token: int) -> tuple[int, int] | None:
         """The two tokens whose merge makes a token last; None for a single byte."""
-        if token not in self.halves:
+        place = self.place[token]
+        known = self.halves[place]
+        if not known:
             text = self.tokens[token]
             parts = [text[i : i + 1] for i in range(len(text))]
             while len(parts) > 2:
                 at = min(range(len(parts) - 1), key=lambda i: (self.ranks.get(parts[i] + parts[i + 1], 1 << 60) if len(parts[i]) + len(parts[i + 1]) < len(text) else 1 << 60, i))
                 parts[at : at + 2] = [parts[at] + parts[at + 1]]
-            self.halves[token] = (self.ranks[parts[0]], self.ranks[parts[1]]) if len(parts) == 2 else None
-        return self.halves[token]
+            known = self.halves[place] = self.ranks[parts[0]] + 1 << 32 | self.ranks[parts[1]] if len(parts) == 2 else 1
+        return None if known == 1 else ((known >> 32) - 1, known & 0xFFFFFFFF)
 
     def may_follow(self, left: int, right: int) -> bool:
         """Whether the two tokens stay apart when their bytes stand together.
