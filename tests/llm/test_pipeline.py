@@ -3,6 +3,7 @@ import re
 from collections import defaultdict
 
 import public_tokenizers as P
+import pyarrow as pa
 import pyarrow.parquet as pq
 import tiktoken
 
@@ -10,6 +11,7 @@ import corpus_pipeline as pipeline
 from tests.llm.test_mixing import fill
 from tests.llm.test_simhash import brute
 from tidemark.llm import bpe, mixing, secrets, toxicity
+from tidemark.llm.common import BATCH_SETTING
 
 D = "/root/testdata/sf0.001"
 
@@ -101,3 +103,29 @@ def test_near_copies_with_repeated_ids_and_clashing_names(spark):
     assert pipeline.drop_toxic(spark, docs, D).columns == docs.columns
     mixed = pipeline.mix_sources(spark, docs, D)
     assert mixed.columns == docs.columns and {r.copies for r in mixed.collect()} <= {0} and {r.copy for r in mixed.collect()} <= {9}
+
+
+def test_texts_reach_workers_in_bounded_batches(spark):
+    """No stage hands a worker a whole partition of texts at once; a bound that the session sets itself stays."""
+    docs = spark.read.parquet(f"{D}/documents.parquet")
+    large = spark.range(0, 24, 1, 1).selectExpr("repeat('x', 1000000) text")
+
+    def most():
+        def sizes(batches):
+            for batch in batches:
+                yield pa.RecordBatch.from_arrays([pa.array([batch.nbytes])], names=["size"])
+
+        found = [r.size for r in large.mapInArrow(sizes, "size long").collect()]
+        assert sum(found) > 24_000_000
+        return max(found)
+
+    try:
+        for stage in (pipeline.drop_toxic, pipeline.drop_near_copies, pipeline.tokenise):
+            spark.conf.unset(BATCH_SETTING)
+            stage(spark, docs, D)
+            assert most() < 6_000_000, stage
+        spark.conf.set(BATCH_SETTING, "16m")
+        pipeline.tokenise(spark, docs, D)
+        assert 12_000_000 < most() < 18_000_000
+    finally:
+        spark.conf.unset(BATCH_SETTING)

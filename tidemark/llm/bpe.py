@@ -308,10 +308,11 @@ class Encoder:
         return b"".join(map(self.known.young.__getitem__, self.segments(text)))
 
     def release(self) -> None:
-        """Drop the known segments; what the transducer has learnt stays, unless it is lean."""
+        """Drop the known segments; what the transducer has learnt stays, unless it is lean, which also gives back memory of past batches."""
         self.known.clear()
         if self.lean:
             self.transducer.forget()
+            pa.default_memory_pool().release_unused()
 
 
 # --- UTF-8: byte classes and transitions, from the table of well-formed sequences in the Unicode standard

@@ -45,6 +45,20 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
+BATCH = "4m"
+BATCH_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Let Python workers get whole texts in batches of some BATCH bytes, unless the session sets its own bound.
+
+    Spark's default of 64 MB is a whole partition of texts, held by the executor and its worker at once, and more than
+    once while buffers grow. A batch takes one row at least. The setting stays, as it counts when a plan runs.
+    """
+    if spark.conf.get(BATCH_SETTING, None) is None:
+        spark.conf.set(BATCH_SETTING, BATCH)
+
+
 def fold(id_column: str, folds: int) -> Column:
     return F.crc32(F.col(id_column).cast("string")) % folds
 
