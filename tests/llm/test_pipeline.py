@@ -11,7 +11,7 @@ import corpus_pipeline as pipeline
 from tests.llm.test_mixing import fill
 from tests.llm.test_simhash import brute
 from tidemark.llm import bpe, mixing, secrets, toxicity
-from tidemark.llm.common import BATCH_SETTING
+from tidemark.llm.common import BATCH_SETTING, READ_ROWS, READ_SETTING
 
 D = "/root/testdata/sf0.001"
 
@@ -129,3 +129,19 @@ def test_texts_reach_workers_in_bounded_batches(spark):
         assert 12_000_000 < most() < 18_000_000
     finally:
         spark.conf.unset(BATCH_SETTING)
+
+
+def test_stages_read_few_rows_at_a_time(spark):
+    """All stages bound the rows of a column batch; a bound that the session sets itself stays."""
+    docs = spark.read.parquet(f"{D}/documents.parquet").limit(20)
+    try:
+        for _, stage in pipeline.STAGES:
+            spark.conf.unset(READ_SETTING)
+            stage(spark, docs, D)
+            assert spark.conf.get(READ_SETTING) == READ_ROWS, stage
+        spark.conf.set(READ_SETTING, "2048")
+        pipeline.tokenise(spark, docs, D)
+        assert spark.conf.get(READ_SETTING) == "2048"
+    finally:
+        spark.conf.unset(READ_SETTING)
+        spark.conf.unset(BATCH_SETTING)

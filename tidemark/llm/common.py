@@ -47,16 +47,21 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
 
 BATCH = "4m"
 BATCH_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
+READ_ROWS = "512"
+READ_SETTING = "spark.sql.parquet.columnarReaderBatchSize"
 
 
 def bounded_batches(spark: SparkSession) -> None:
-    """Let Python workers get whole texts in batches of some BATCH bytes, unless the session sets its own bound.
+    """Read whole texts READ_ROWS rows at a time and hand them to Python in batches of some BATCH bytes, unless the session
+    sets its own bounds.
 
-    Spark's default of 64 MB is a whole partition of texts, held by the executor and its worker at once, and more than
-    once while buffers grow. A batch takes one row at least. The setting stays, as it counts when a plan runs.
+    Spark's defaults, 4,096 rows and 64 MB, make columns of tens of MB that grow by copying, and batches that are a whole
+    partition of texts, held by the executor and its worker at once. A batch takes one row at least. The settings
+    stay, as they count when a plan runs.
     """
-    if spark.conf.get(BATCH_SETTING, None) is None:
-        spark.conf.set(BATCH_SETTING, BATCH)
+    for setting, bound in ((READ_SETTING, READ_ROWS), (BATCH_SETTING, BATCH)):
+        if spark.conf.get(setting, None) is None:
+            spark.conf.set(setting, bound)
 
 
 def fold(id_column: str, folds: int) -> Column:
